@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_extract, media, minhash, mixing, packing, pii, quality_model, quality_rules, sharding
+from tallyward.llm import html_extract, media, minhash, mixing, packing, pii, quality_model, quality_rules, sharding, suffix_dedup
 from tallyward.llm.common import read_table
 
 
@@ -37,6 +37,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(read_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_pii": op5_pii,
         "op6_minhash_dedup": op6_minhash_dedup,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_media_columns": op8_media_columns,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
