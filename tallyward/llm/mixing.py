@@ -23,10 +23,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import n_words, require, settle
+from tallyward.llm.common import WORD, n_words, require, settle
 
 #: Buckets to an octave of the key in the first round, and parts of a bucket in the second.
 _OCTAVE, _PARTS = 256, 4096
+#: Parts into which the rows of a source are dealt when they meet its plan.
+SALTS = 64
 _SYMBOLS = "#*$%&|<>"
 
 
@@ -72,6 +74,26 @@ def _match(left: DataFrame, right: DataFrame, *names: str, how: str = "inner") -
     return left.join(right, on, how).drop(*[f"right_{name}" for name in names])
 
 
+def _ready(docs: DataFrame, id_col: str, source_col: str, size: Column | None, weight: Column | None, seed: int, text_col: str) -> list[Column]:
+    """doc_id, source, size and key of a document."""
+    size = n_words(F.col(text_col)) if size is None else size
+    weight = symbol_weight(F.col(text_col)) if weight is None else weight
+    key = -F.log(uniform(F.col(id_col), seed)) / weight
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), key.alias("key")]
+
+
+def _taken(rows: DataFrame, plan: DataFrame, own: Column, edge: Column) -> DataFrame:
+    """Rows with the plan of their source, and ``extra``, the words taken beyond complete epochs.
+
+    A source may hold most rows, so its plan is repeated for every value of a salt.
+    """
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)))
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = _match(rows, plan, "source", "salt", how="left")
+    extra = F.when(F.col("edge").isNull(), 0).when(own < edge, F.col("size")).when(own == edge, F.col("piece")).otherwise(0)
+    return joined.withColumn("extra", extra.cast("long"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weight: Column | None = None, targets: DataFrame | None = None, seed: int = 7, text_col: str = "text") -> DataFrame:
     """Words to take from every document.
 
@@ -80,15 +102,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     target, rounded: the one document on the cut gives only its first words.
     """
     require(docs, id_col, source_col)
-    size = n_words(F.col(text_col)) if size is None else size
-    weight = symbol_weight(F.col(text_col)) if weight is None else weight
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        size.cast("long").alias("size"),
-        (-F.log(uniform(F.col(id_col), seed)) / weight).alias("key"),
-        F.monotonically_increasing_id().alias("nr"),
+    rows, plan = _plan(docs, _ready(docs, id_col, source_col, size, weight, seed, text_col), targets)
+    taken = _taken(rows, plan, F.struct("key", "doc_id", "size", "nr"), F.col("edge"))
+    return taken.select(
+        "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken")
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, targets: DataFrame | None = None) -> DataFrame:
+    """The mix itself, with all columns of the documents: a row for each time that a document is taken.
+
+    The document on the cut of a source gives its first words, joined by spaces, in a
+    row of its own (as does each row that has its id and size). n_chars, if there, stays true.
+    """
+    require(docs, id_col, source_col, text_col)
+    ready = _ready(docs, id_col, source_col, None, None, seed, text_col)
+    _, plan = _plan(docs, ready, targets)
+    own = docs.select(F.struct(*docs.columns).alias("doc"), *ready)
+    edge = F.struct(F.col("edge.key"), F.col("edge.doc_id"), F.col("edge.size"))
+    taken = _taken(own, plan, F.struct("key", "doc_id", "size"), edge)
+    times = F.col("epochs") + (F.col("extra") > 0).cast("long")
+    copies = taken.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    partial = (F.col("copy") > F.col("epochs")) & (F.col("extra") < F.col("size"))
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("doc")[text_col], F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int")), " ")
+    text = F.when(partial, head).otherwise(F.col("doc")[text_col])
+    columns = [F.col("doc")[c].alias(c) for c in docs.columns]
+    columns[docs.columns.index(text_col)] = text.alias(text_col)
+    if "n_chars" in docs.columns:
+        columns[docs.columns.index("n_chars")] = F.when(partial, F.length(head)).otherwise(F.col("doc")["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return copies.select(*columns)
+
+
+def _plan(docs: DataFrame, ready: list[Column], targets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The narrow rows, settled, and for each source its size, target, epochs, and where it is cut: edge and piece."""
+    rows = docs.select(*ready, F.monotonically_increasing_id().alias("nr"))
     rows = settle(rows.withColumn("slot", F.floor(F.log2("key") * _OCTAVE)))
 
     # Round 1: words of each source by key bucket. At most some thousand buckets a source.
@@ -120,11 +167,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     last = last.withColumn("first", F.row_number().over(order)).filter("first = 1")
     last = last.select("source", F.struct("key", "doc_id", "size", "nr").alias("edge"), (F.col("rest") - F.col("upto") + F.col("size")).alias("piece"))
 
-    plan = _match(goals.drop("goal", "rest"), last, "source", how="left")
-    joined = _match(rows, plan, "source", how="left")
-    own = F.struct("key", "doc_id", "size", "nr")
-    extra = F.when(F.col("edge").isNull(), 0).when(own < F.col("edge"), F.col("size")).when(own == F.col("edge"), F.col("piece")).otherwise(0)
-    return joined.select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", "nr",
-        (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"),
-    )
+    return rows, settle(_match(goals.drop("goal", "rest"), last, "source", how="left"))
