@@ -266,16 +266,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("keep is 'none' or 'first'")
     texts = _keyed(docs, id_col, text_col)
     found = _table(_anchors(texts.select("did", "th", "text")))
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # Written first, so that the join has an exchange of its own on both sides and a frequent gram can be split.
+    often = _table(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     found = _table(found.join(often, "gram"))
     place = F.struct("did", "th", "first")
     classes = _table(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("earliest")))
-    several = classes.groupBy("gram").agg(F.count("*").alias("n_classes"))
+    several = _table(classes.groupBy("gram").agg(F.count("*").alias("n_classes")).filter("n_classes > 1"))
     told = found.join(classes, ["gram", "context"])
     whole = told.filter("n > 1") if keep == "none" else told.filter((F.col("n") > 1) & (place > F.col("earliest")))
     whole = whole.select("did", "th", F.col("first").alias("a"), (F.col("first") + F.col("more") + LENGTH).alias("b"))
     # One row of each distinct surrounding, where a gram has several.
-    left = told.filter(place == F.col("earliest")).join(several.filter("n_classes > 1"), "gram")
+    left = told.filter(place == F.col("earliest")).join(several, "gram")
     left = left.dropDuplicates(["gram", "context"])
     left = _table(left.select("did", "th", "gram", "first", "more", (F.col("n") == 1).alias("alone"), "n_classes"))
     wanted = left.groupBy("did", "th").agg(F.collect_list(F.struct("gram", "first", "more", "alone")).alias("anchors"))
