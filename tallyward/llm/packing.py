@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +82,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = {f.name: f.dataType.simpleString() for f in some.schema}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", bin_id long, bin_length long, bin_offset long"
 
-    def pack(key, part: pd.DataFrame) -> pd.DataFrame:
+    def pack(key, part):
         part = part.sort_values(["n_words", "doc_id", "piece", "nr"], ascending=[False, True, True, True], kind="stable")[names].copy()
         bins, offsets, final = pack_sizes(part["n_words"].tolist(), lengths, cost)
         part["bin_id"] = [int(key[0]) * (1 << 32) + b for b in bins]
