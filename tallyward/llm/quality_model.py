@@ -5,8 +5,8 @@ weights of hashed text features and the thresholds are ordered. Documents are
 selected by the probability of the top grade.
 
 Features are the distinct words of a text (lower case, without symbols), the
-shapes of its words, and the shapes of its lines, each hashed into one of
-2**HASH_BITS places. Places met in fewer than LEAST training texts have no weight.
+first four and six letters of longer ones, and whether these recur, its marks,
+and a coarse profile of it, each hashed into one of 2**HASH_BITS places. Places met in fewer than LEAST training texts have no weight.
 
 The model is fitted on a bounded sample: the SAMPLE rated documents with the
 smallest hash of their id. All documents are scored, in one pass and without a
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,29 +34,43 @@ from pyspark.sql import functions as F
 
 from tallyward.llm.common import require
 
-HASH_BITS, SAMPLE, LEAST, STEPS, PENALTY = 18, 8000, 4, 300, 2e-4
+HASH_BITS, SAMPLE, LEAST, STEPS, PENALTY, PROFILE_WEIGHT = 18, 12_000, 8, 300, 1e-3, 4
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[^\w\s.,;:'\"()-]+")
 
 
 def text_features(text: str | None) -> set[str]:
-    """Distinct words, prefixed marks, and a coarse profile of the text."""
+    """Distinct words, beginnings of words (and which of these recur), marks, and a coarse profile of the text.
+
+    A profile feature stands in PROFILE_WEIGHT places, so that the penalty weighs less on it than on a word.
+    """
     text = text or ""
     words = text.split()
-    lower = text.lower()
-    found = set(_LETTERS.findall(lower))
     n = max(1, len(words))
+    counts = Counter(_LETTERS.findall(text.lower()))
+    begins: Counter = Counter()
+    for w, k in counts.items():
+        if len(w) > 4:
+            begins[w[:4]] += k
+            if len(w) > 6:
+                begins[w[:6]] += k
+    found = set(counts)
+    found.update(f"{w}*" for w in begins)
+    found.update(f"{w}**" for w, k in begins.items() if k > 1)
     found.update("mark:" + m for m in set(_MARKS.findall(text)))
-    symbols = sum(text.count(c) for c in "#*$%&|<>")
-    upper = sum(w.isupper() for w in words)
-    grade = lambda part: min(9, int(10 * part))
-    found.add(f"symbols:{grade(symbols / n)}")
-    found.add(f"upper:{grade(upper / n)}")
-    found.add(f"cries:{grade(text.count('!') / n)}")
-    found.add(f"distinct:{grade(len(set(words)) / n)}")
-    found.add(f"words:{n.bit_length()}")
+    tenths = lambda part: min(9, int(10 * part / n))
     lines = [x for x in text.split("\n") if x.strip()]
-    found.add(f"lines:{grade(len(set(lines)) / max(1, len(lines)))}")
+    profile = (
+        f"symbols:{tenths(sum(map(text.count, '#*$%&|<>')))}",
+        f"bars:{tenths(sum(w == '|' for w in words))}",
+        f"upper:{tenths(sum(w.isupper() for w in words))}",
+        f"cries:{tenths(text.count('!'))}",
+        f"distinct:{tenths(len(set(words)))}",
+        f"windows:{tenths(len(set(zip(words, words[1:], words[2:]))))}",
+        f"words:{n.bit_length()}",
+        f"lines:{int(10 * len(set(lines)) / max(1, len(lines)))}",
+    )
+    found.update(f"{p}~{i}" for p in profile for i in range(PROFILE_WEIGHT))
     return found
 
 
