@@ -261,7 +261,7 @@ def _meta_faults(node: Any, pointer: str = "") -> Iterator[tuple[str, str]]:
 
 def select_root(found: SchemaSet, file: SchemaFile) -> SchemaSet:
     """Make a file the root; one that is no table is reported."""
-    found.issues = [i for i in found.issues if i.code not in ("W_ROOT_NOT_ARRAY", "E_ROOT_NOT_TABULAR")]
+    found.issues[:] = [i for i in found.issues if i.code not in ("W_ROOT_NOT_ARRAY", "E_ROOT_NOT_TABULAR")]
     if not array_of_objects(file.json):
         if isinstance(file.json, dict) and "items" in file.json:
             found.issues.append(LoadIssue("W_ROOT_NOT_ARRAY", f'The index schema `{file.path}` is not an array-of-objects schema; a table is expected (`type: "array"` with object `items`).', file.file_id))
