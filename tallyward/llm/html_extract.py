@@ -38,7 +38,7 @@ MAIN = frozenset(("article", "main"))
 ROLES_LEFT_OUT = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of class names and ids that mark boilerplate.
 MARKS = frozenset(
-    "ad adbox adbanner ads adslot advert advertisement advertising aside banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended recommendations related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+    "ad adbox adbanner ads adsbygoogle adslot advert advertisement advertising adverts alert aside banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended recommendations related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets".split()
 )
 #: A header or aside of these is part of the text's own layout, as are wrappers named for having or lacking a sidebar.
 _OF_TEXT = frozenset("article content entry post story section".split())
