@@ -30,8 +30,8 @@ def matching(data: DataFrame, condition: str) -> DataFrame:
 def repeated(data: DataFrame, column: str) -> DataFrame:
     """Rows whose value of a column another row has too.
 
-    Values are counted first, with partial counts on the map side, and joined back: one
-    frequent value is neither sorted nor gathered in one task, as a window would.
+    Values are counted first, with partial counts on the map side, and only those that
+    repeat are joined back, where a window would sort and hold all rows of a value.
     """
     often = data.filter(F.col(quote(column)).isNotNull()).groupBy(F.col(quote(column)).alias("__value")).agg(F.count("*").alias("__n")).filter("__n > 1")
     return data.join(often.select("__value"), F.col(quote(column)) == F.col("__value"), "left_semi")
