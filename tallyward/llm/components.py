@@ -15,7 +15,8 @@ from tallyward.llm.common import settle
 
 def _pointed(pairs: DataFrame) -> DataFrame:
     """For directed pairs (u, v): (v, least of u and all its v), and (u, that), without loops."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    # Settled first: the join then has an exchange of its own on both sides, and a node with very many edges can be split.
+    least = settle(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
     joined = pairs.join(least, pairs["u"] == least["w"]).select("u", "v", "m")
     return joined
 

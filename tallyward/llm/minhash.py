@@ -273,11 +273,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("buckets", "doc_id").alias("buckets"))
     reps = settle(reps)
     spread = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).filter("centre <> other").select("bucket", "centre")
+    shared = spread.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).filter("centre <> other")
+    shared = settle(shared.select("bucket", "centre"))  # so that a large bucket can be split in the join
     edges = spread.join(shared, "bucket").filter("rep <> centre").select("rep", "centre").distinct()
     clusters = connected(edges, "rep", "centre").toDF("rep", "cluster")
     members = settle(clusters.join(reps.select("rep", F.col("n_shingles").alias("n")), "rep"))
-    weights = members.groupBy("cluster").agg(F.sum("n").alias("weight"))
+    weights = settle(members.groupBy("cluster").agg(F.sum("n").alias("weight")))
     small = members.join(weights.filter(F.col("weight") <= cluster_shingles), "cluster").select("rep", "cluster")
     large = settle(members.join(weights.filter(F.col("weight") > cluster_shingles), "cluster").select("rep", "cluster", "n"))
 
