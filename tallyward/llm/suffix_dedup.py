@@ -24,7 +24,6 @@ other than those named are never read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.llm import repeats
-from tallyward.llm.common import require, settle, shared_dir
+from tallyward.llm.common import Tables, require, settle
 from tallyward.llm.repeats import LENGTH
 
 #: Distinct surroundings of a gram that one task compares, and rows of a batch of grams, about.
@@ -129,9 +128,7 @@ def string_hashes(bodies: list[bytes], counts: np.ndarray) -> np.ndarray:
 
 def _table(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/repeats-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return Tables(df.sparkSession, "repeats").put(df)
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
@@ -193,6 +190,13 @@ def repeated_starts(did: np.ndarray, th: np.ndarray, first: np.ndarray, more: np
     else:
         order = np.argsort(hashes, kind="stable")
     same = hashes[order][1:] == hashes[order][:-1]
+    if keep == "first":  # a row that stands there twice is no earlier match of itself
+        again = np.ones(len(order) - 1 if len(order) else 0, bool)
+        for column in (did[row], th[row], start):
+            again &= column[order][1:] == column[order][:-1]
+        # Of equal places in a run, what holds for the first holds for all.
+        lead = np.maximum.accumulate(np.where(np.concatenate([[True], ~again]), np.arange(len(order)), 0)) if len(order) else np.zeros(0, int)
+        same = np.concatenate([[False], same])[lead][1:] if len(order) else same
     hit = np.zeros(len(row), bool)
     hit[order[1:]] |= same
     if keep == "none":
