@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,34 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Tables:
+    """Tables written into a folder of the shared one and read again.
+
+    Unlike a checkpoint, whose estimated size is that of the plan behind it and in a
+    loop of joins grows with every round, a table is known by its true size.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self, *but: DataFrame) -> None:
+        """Delete all tables but those given."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        kept = {p for df in but for f in df.inputFiles()[:1] for p in [f.rstrip("/").rsplit("/", 2)[-2]]}
+        for i in range(1, self.count + 1):
+            if str(i) not in kept:
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{i}")
+                path.getFileSystem(conf).delete(path, True)
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

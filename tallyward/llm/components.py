@@ -10,31 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import settle
+from tallyward.llm.common import Tables
 
 
-def _pointed(pairs: DataFrame) -> DataFrame:
-    """For directed pairs (u, v): (v, least of u and all its v), and (u, that), without loops."""
-    # Settled first: the join then has an exchange of its own on both sides, and a node with very many edges can be split.
-    least = settle(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
-    joined = pairs.join(least, pairs["u"] == least["w"]).select("u", "v", "m")
-    return joined
+def _pointed(pairs: DataFrame, tables: Tables) -> DataFrame:
+    """For directed pairs (u, v): u and v with the least of u and all its v."""
+    # Written first: the join then has an exchange of its own on both sides, and a node with very many edges can be split.
+    least = tables.put(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
+    return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node of an edge between different nodes; root is the least node that it reaches."""
-    edges = settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
+    tables = Tables(edges.sparkSession, "components")
+    edges = tables.put(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Larger neighbours of a node move to its least neighbour ...
-        large = _pointed(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _pointed(both, tables).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # ... then a node and its smaller neighbours move to the least of them.
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _pointed(down)
+        small = _pointed(tables.put(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), tables)
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = settle(small.filter("u <> v").distinct())
+        edges = tables.put(small.filter("u <> v").distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        tables.drop(edges)
         if now == before:
             break
         before = now

@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import require, settle
+from tallyward.llm.common import Tables, require, settle
 from tallyward.llm.components import connected
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
-#: Distinct shingles of a cluster, all members together, that one task compares in memory.
-CLUSTER_SHINGLES = 4_000_000
+#: Distinct shingles of a cluster, all members together, that one task compares in memory; each member counts as
+#: MEMBER_COST more, as comparisons grow with their number.
+CLUSTER_SHINGLES, MEMBER_COST = 4_000_000, 400
 #: Ids of this many rows are broadcast to pick out texts; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 _PIECE = 1 << 20
@@ -237,18 +238,19 @@ def _link_large(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     whose unsettled members lie in several components; their number doubles, so
     rounds grow with the logarithm of a bucket.
     """
-    live = settle(members.select("rep", "n", "bucket"))
-    parts = settle(live.select("rep", F.col("rep").alias("component")).distinct())
+    tables = Tables(members.sparkSession, "stars")
+    live = tables.put(members.select("rep", "n", "bucket"))
+    parts = tables.put(live.select("rep", F.col("rep").alias("component")).distinct())
     links = None
     centres = 1
     while True:
         own = live.join(parts, "rep")
         open_ = own.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-        own = settle(own.join(open_, "bucket"))
+        own = tables.put(own.join(open_, "bucket"))
         if not own.take(1):
             return parts
         salt = F.pmod(F.xxhash64("rep", "bucket"), F.lit(centres))
-        stars = settle(own.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("rep", "n", "component")).alias("c")).select("bucket", "c.*"))
+        stars = tables.put(own.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("rep", "n", "component")).alias("c")).select("bucket", "c.*"))
         stars = stars.toDF("bucket", "centre", "m", "other")
         pairs = own.join(stars, "bucket").filter((F.col("component") != F.col("other")) & (F.col("rep") != F.col("centre")))
         pairs = pairs.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
@@ -256,10 +258,10 @@ def _link_large(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         left, right = sets.toDF("x", "xs"), sets.toDF("y", "ys")
         common = F.size(F.array_intersect("xs", "ys"))
         close = pairs.join(left, "x").join(right, "y").filter(100 * common >= percent * (F.size("xs") + F.size("ys") - common)).select("x", "y")
-        links = settle(close if links is None else links.unionByName(close))
+        links = tables.put(close if links is None else links.unionByName(close))
         roots = connected(links, "x", "y")
-        parts = settle(parts.select("rep").join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("component")))
-        live = settle(live.join(stars.select("bucket", F.col("centre").alias("rep")), ["bucket", "rep"], "left_anti"))
+        parts = tables.put(parts.select("rep").join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("component")))
+        live = tables.put(live.join(stars.select("bucket", F.col("centre").alias("rep")), ["bucket", "rep"], "left_anti"))
         centres *= 2
 
 
@@ -278,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = spread.join(shared, "bucket").filter("rep <> centre").select("rep", "centre").distinct()
     clusters = connected(edges, "rep", "centre").toDF("rep", "cluster")
     members = settle(clusters.join(reps.select("rep", F.col("n_shingles").alias("n")), "rep"))
-    weights = settle(members.groupBy("cluster").agg(F.sum("n").alias("weight")))
+    weights = settle(members.groupBy("cluster").agg(F.sum(F.col("n") + MEMBER_COST).alias("weight")))
     small = members.join(weights.filter(F.col("weight") <= cluster_shingles), "cluster").select("rep", "cluster")
     large = settle(members.join(weights.filter(F.col("weight") > cluster_shingles), "cluster").select("rep", "cluster", "n"))
 
