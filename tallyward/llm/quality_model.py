@@ -21,6 +21,7 @@ than those named are never read.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -170,15 +171,16 @@ def score_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
             scores = []
             for text in batch.column(1):
                 features = text_features(text.as_py()) if text.is_valid and len(text.as_py()) else ()
-                total = 0.0
-                for f in sorted(features):  # one order of summing for equal texts
+                held = []
+                for f in features:
                     w = known.get(f)
                     if w is None:
                         if len(known) > 200_000:
                             known.clear()
                         w = known[f] = float(model.weights[place(f)])
-                    total += w
-                scores.append(total)
+                    if w:
+                        held.append(w)
+                scores.append(math.fsum(held))  # exact, whatever the order
             scores = np.array(scores)
             p = model.probabilities(scores)
             tail = p[:, -1]
