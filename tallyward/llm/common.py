@@ -65,7 +65,10 @@ class Tables:
     def drop(self, *but: DataFrame) -> None:
         """Delete all tables but those given."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        kept = {p for df in but for f in df.inputFiles()[:1] for p in [f.rstrip("/").rsplit("/", 2)[-2]]}
+        files = [df.inputFiles() for df in but]
+        if not all(files):
+            return
+        kept = {f[0].rsplit("/", 2)[-2] for f in files}
         for i in range(1, self.count + 1):
             if str(i) not in kept:
                 path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{i}")

@@ -248,6 +248,7 @@ def _link_large(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         open_ = own.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
         own = tables.put(own.join(open_, "bucket"))
         if not own.take(1):
+            tables.drop(parts)
             return parts
         salt = F.pmod(F.xxhash64("rep", "bucket"), F.lit(centres))
         stars = tables.put(own.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("rep", "n", "component")).alias("c")).select("bucket", "c.*"))
