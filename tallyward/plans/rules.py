@@ -68,7 +68,7 @@ class RuleFile:
 
 def group_of(name: str) -> str:
     base = re.split(r"[/\\]", name)[-1]
-    return re.sub(r"(?i)(\.quac)?\.csv\Z", "", base)
+    return re.sub(r"(?i)(\.rules)?\.csv\Z", "", base)
 
 
 def guess_delimiter(text: str) -> str:
@@ -155,7 +155,7 @@ def write_rules(file: RuleFile) -> str:
 
 
 def export_name(name: str) -> str:
-    return f"{group_of(name)}.quac.csv"
+    return f"{group_of(name)}.rules.csv"
 
 
 class RuleBook:
