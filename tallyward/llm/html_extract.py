@@ -44,23 +44,51 @@ MARKS = frozenset(
 _OF_TEXT = frozenset("article content entry post story section".split())
 _NEGATED = frozenset("has no with without".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>|<[a-zA-Z!?/][^>]*+\Z",
-    re.DOTALL,
-)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z|\")", re.IGNORECASE)
+#: Attributes that are looked at.
+_READ = frozenset("aria-hidden class hidden id role style".split())
+
+_MARKUP = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)|[!?/])")
+_NEXT = re.compile(r"[\s/]*+(?:(>)|(=?[^\s/>=]*+)(?:\s*+=\s*+(?:([\"'])|([^\s>]*+)))?+)")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
+def read_attributes(page: str, at: int) -> tuple[tuple[tuple[str, str], ...], int]:
+    """Attributes that are looked at, from a place behind a tag's name, and the place behind the tag.
+
+    A quote opens a value only behind an equals sign, and the value ends at the next such quote, however
+    far; without one the tag ends at the next ``>``. A tag that is cut off ends with the page. Of attributes
+    with the same name the first counts.
+    """
+    found: dict[str, str] = {}
+    end = len(page)
+    while at < end:
+        m = _NEXT.match(page, at)
+        at = m.end()
+        if m[1]:
+            return tuple(found.items()), at
+        value = m[4] or ""
+        if m[3]:
+            stop = page.find(m[3], at)
+            if stop < 0:
+                stop = page.find(">", at)
+                if stop < 0:
+                    break
+                value, at = page[at:stop], stop
+            else:
+                value, at = page[at:stop] if len(m[2]) <= 11 else "", stop + 1
+        if len(m[2]) <= 11 and (name := m[2].lower()) in _READ:
+            found.setdefault(name, value)
+    return tuple(found.items()), end + 1
+
+
 @lru_cache(maxsize=4096)
-def is_boilerplate(name: str, attributes: str) -> bool:
+def is_boilerplate(name: str, attributes: tuple[tuple[str, str], ...]) -> bool:
     """Whether an element is left out, by its name, role, class or id."""
     if name in LEFT_OUT:
         return True
     if name in ("html", "body", "main") or not attributes:
         return False
-    for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), a or b or c
+    for key, value in attributes:
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" and name != "article":
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
@@ -78,32 +106,36 @@ def is_boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
+def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, str], ...], str]]:
     """(kind, name, attributes, text): kind is text, open, close or raw (an element whose content is no markup)."""
     at, end = 0, len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _MARKUP.search(page, at)
         if m is None:
-            yield "text", "", "", page[at:]
+            yield "text", "", (), page[at:]
             return
         if m.start() > at:
-            yield "text", "", "", page[at : m.start()]
+            yield "text", "", (), page[at : m.start()]
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        if not m[3]:
+            stop = page.find("-->" if m[1] else ">", at)
+            at = end if stop < 0 else stop + (3 if m[1] else 1)
             continue
-        if m[1] or m[4]:
-            yield "close", name, "", ""
+        name = m[3].lower()
+        attributes, at = read_attributes(page, at)
+        if at > end:
+            return
+        if m[2]:
+            yield "close", name, (), ""
             continue
-        attributes = m[3] or m[6] or ""
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-            yield "raw", name, "", ""
+            yield "raw", name, (), ""
             at = stop.end() if stop else end
             continue
         yield "open", name, attributes, ""
-        if attributes.endswith("/") and name not in VOID and name not in BLOCKS:
-            yield "close", name, "", ""
+        if page[at - 2] == "/" and name not in VOID and name not in BLOCKS:
+            yield "close", name, (), ""
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -122,7 +154,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "words", place + (" link" if held["a"] else ""), text
             continue
         if kind == "open" and name not in VOID:
-            out = is_boilerplate(name, attributes)
+            out = is_boilerplate(name, attributes) if sum(len(v) for _, v in attributes) < 1000 else is_boilerplate.__wrapped__(name, attributes)
             stack.append((name, out))
             held[name] += 1
             if out:
