@@ -1,6 +1,7 @@
 """Main text of web pages, by the maximum-scoring contiguous run of tokens.
 
-Elements that are boilerplate by name, role or class are left out first. Of the
+Elements that are boilerplate by name, role or class are left out first, unless
+they wrap the story; words under weak marks, such as widget or share, score less. Of the
 remaining tokens words score positive and tags negative, with weights learned
 from labelled pages; one linear scan finds the run with the greatest sum. The
 blocks that the run touches are the text.
@@ -8,8 +9,8 @@ blocks that the run touches are the text.
 Defined cases: a null or empty page has an empty text; a page cut off anywhere is
 read as far as it goes, without the broken tag; unbalanced tags close what
 they opened or nothing; repeated rows give equal rows; an empty table gives an
-empty result; columns other than those named are never read. Each page is read
-once, in time linear in its length.
+empty result; columns other than those named are never read. Pages take
+time linear in their length.
 """
 
 from __future__ import annotations
@@ -44,6 +45,12 @@ MARKS = frozenset(
 _OF_TEXT = frozenset("article content entry post story section".split())
 _NEGATED = frozenset("has no with without".split())
 
+#: Marks that text of the page bears as well: they lower its score, unless their element holds the story itself.
+WEAK_MARKS = frozenset("related recommended recommendations search share sharing social widget widgets".split())
+#: Marks of what readers write. Their elements may hold articles of their own and most of a page's words.
+_TALK = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Words, less those of links, that an element with a weak mark needs to be read; a mere widget is read with one.
+_WEAK_LEAST = 8
 #: Attributes that are looked at.
 _READ = frozenset("aria-hidden class hidden id role style".split())
 
@@ -82,28 +89,37 @@ def read_attributes(page: str, at: int) -> tuple[tuple[tuple[str, str], ...], in
 
 
 @lru_cache(maxsize=4096)
-def is_boilerplate(name: str, attributes: tuple[tuple[str, str], ...]) -> bool:
-    """Whether an element is left out, by its name, role, class or id."""
+def mark(name: str, attributes: tuple[tuple[str, str], ...]) -> str:
+    """How an element is marked by its name, role, class or id.
+
+    ``out``: never part of the text; ``strong`` and ``talk``: boilerplate, unless it wraps the story; ``weak`` and
+    ``widget``: text of a lower score; empty: not at all.
+    """
     if name in LEFT_OUT:
-        return True
+        return "out"
     if name in ("html", "body", "main") or not attributes:
-        return False
-    for key, value in attributes:
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" and name != "article":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-        if key == "role" and value.lower() in ROLES_LEFT_OUT:
-            return True
-        if key in ("class", "id"):
-            for one in value.split():
-                parts = {p.lower() for p in _PARTS.findall(one)} | {one.lower()}
-                if parts & _NEGATED:
-                    continue
-                hits = parts & MARKS
-                if hits and not (hits <= {"header", "hidden"} and parts & _OF_TEXT):
-                    return True
-    return False
+        return ""
+    own = dict(attributes)
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" and name != "article":
+        return "out"
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.IGNORECASE):
+        return "out"
+    if own.get("role", "").strip().lower() in ROLES_LEFT_OUT:
+        return "out"
+    kinds = set()
+    for key in ("class", "id"):
+        for one in own.get(key, "").split():
+            parts = {p.lower() for p in _PARTS.findall(one)} | {one.lower()}
+            if parts & _NEGATED:
+                continue
+            hits = parts & MARKS
+            if key == "id" or one.lower() != "hidden":
+                hits -= {"hidden"}  # of overflow-hidden and the like
+            if not hits or hits == {"header"} and parts & _OF_TEXT:
+                continue
+            firm = hits - WEAK_MARKS
+            kinds.add("talk" if firm & _TALK else "strong" if firm else "weak" if hits - {"widget", "widgets"} else "widget")
+    return next((k for k in ("strong", "talk", "weak", "widget") if k in kinds), "")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, str], ...], str]]:
@@ -138,26 +154,102 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, str], ...], s
             yield "close", name, (), ""
 
 
+def judge(parts: list[tuple[str, str, tuple[tuple[str, str], ...], str]]) -> tuple[dict[int, str], bool]:
+    """What is left out ("out") or read at a lower score ("weak"), by the place of its opening tag; whether an article or main is read.
+
+    A mark by class or id is void where the element holds ``main`` or most words (a firm one: with all articles,
+    or nearly all words). Weakly marked elements of few words or mostly links are left out, but never all articles.
+    """
+    n_words = n_links = n_main = n_articles = 0
+    stack: list[tuple[str, str, int, tuple[int, int, int, int]]] = []
+    held: Counter = Counter()  # names and marks
+    verdict: dict[int, str] = {}
+    marked: list[tuple[str, int, int, list[int]]] = []  # mark, first and last token, words, links, mains and articles within
+    mains: list[int] = []
+
+    def leave(at: int) -> str:
+        name, kind, first, before = stack.pop()
+        held[name] -= 1
+        held["=" + kind] -= 1
+        if kind and kind != "out":
+            marked.append((kind, first, at, [x - y for x, y in zip((n_words, n_links, n_main, n_articles), before)]))
+        elif kind:
+            marked.append((kind, first, at, []))
+        return name
+
+    for i, (kind, name, attributes, text) in enumerate(parts):
+        if kind == "text":
+            if not held["=out"]:
+                n = len(text.split())
+                n_words += n
+                n_links += n if held["a"] else 0
+        elif kind == "open" and name not in VOID:
+            own = mark(name, attributes) if sum(len(v) for _, v in attributes) < 1000 else mark.__wrapped__(name, attributes)
+            stack.append((name, own, i, (n_words, n_links, n_main, n_articles)))
+            held[name] += 1
+            held["=" + own] += 1
+            if name in MAIN:
+                mains.append(i)
+                if not held["=out"]:
+                    n_main += name == "main"
+                    n_articles += name == "article" and not held["=talk"]
+        elif kind == "close" and held[name] > 0:
+            while leave(i) != name:
+                pass
+    while stack:
+        leave(len(parts))
+    cover = [0] * (len(parts) + 1)
+    for kind, first, last, inside in marked:
+        if kind != "out":
+            words, links, main, articles = inside
+            wraps = articles > 0 and articles == n_articles
+            if main:
+                continue
+            if kind in ("weak", "widget"):
+                if 2 * words > n_words:
+                    continue
+                kind = "weak" if wraps or words - 2 * links >= (_WEAK_LEAST if kind == "weak" else 1) else "out"
+            elif kind == "strong" and (wraps and 2 * words > n_words or 10 * words > 9 * n_words):
+                continue
+            else:
+                kind = "out"
+        verdict[first] = kind
+        cover[first] += 1
+        cover[last] -= 1
+    deep, at, has_main = 0, 0, False
+    for i in mains:
+        deep += sum(cover[at : i + 1])
+        at = i + 1
+        if not deep:
+            has_main = True
+            break
+    return verdict, has_main
+
+
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, text) of what is left in: words with their place, tags, and breaks between blocks.
 
-    Kinds: ``words`` (name: main, outside or plain, with a suffix for links), ``tag``, ``break``.
+    Kinds: ``words`` (name: main, outside or plain, with a suffix for links and weakly marked elements), ``tag``, ``break``.
     """
-    stack: list[tuple[str, bool]] = []
+    parts = list(tokens(page))
+    verdict, has_main = judge(parts)
+    stack: list[tuple[str, str, bool]] = []
     held: Counter = Counter()
-    out_depth = 0
-    has_main = re.search(r"<(?:article|main)[\s>]", page, re.IGNORECASE) is not None
-    for kind, name, attributes, text in tokens(page):
+    out_depth = weak_depth = main_depth = 0  # an article in a weakly marked element is no main text as such
+    for i, (kind, name, _, text) in enumerate(parts):
         if kind == "text":
             if not out_depth:
-                place = "plain" if not has_main else "main" if held["article"] or held["main"] else "outside"
-                yield "words", place + (" link" if held["a"] else ""), text
+                place = "plain" if not has_main else "main" if main_depth else "outside"
+                yield "words", place + (" link" if held["a"] else " weak" if weak_depth and place != "outside" else ""), text
             continue
         if kind == "open" and name not in VOID:
-            out = is_boilerplate(name, attributes) if sum(len(v) for _, v in attributes) < 1000 else is_boilerplate.__wrapped__(name, attributes)
-            stack.append((name, out))
+            own = verdict.get(i, "")
+            weak_depth += own == "weak"
+            main = name in MAIN and not weak_depth
+            main_depth += main
+            stack.append((name, own, main))
             held[name] += 1
-            if out:
+            if own == "out":
                 out_depth += 1
                 if out_depth == 1:
                     yield "break" if name in BLOCKS else "space", name, ""
@@ -166,9 +258,11 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         elif kind == "close" and held[name]:
             inside = not out_depth
             while True:
-                top, out = stack.pop()
+                top, own, main = stack.pop()
                 held[top] -= 1
-                out_depth -= out
+                main_depth -= main
+                out_depth -= own == "out"
+                weak_depth -= own == "weak"
                 if top == name:
                     break
             if inside:
@@ -223,6 +317,8 @@ def fit_weights(pages: Iterable[list[tuple[bool, str]]]) -> dict[str, float]:
 
 #: Tags that labelled pages lack.
 _OTHER_TAG = -0.05
+#: Share of its score that a word keeps in a weakly marked element.
+_WEAK_SHARE = 0.5
 
 
 @lru_cache(maxsize=1)
@@ -251,7 +347,8 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     for kind, name, text in events(page):
         if kind == "words":
             pieces.append(text)
-            scores.append(len(text.split()) * weights.get("words " + name, 1.0))
+            plain = name.removesuffix(" weak")
+            scores.append(len(text.split()) * weights.get("words " + plain, 1.0) * (_WEAK_SHARE if plain != name else 1.0))
             continue
         if kind == "break":
             close()
