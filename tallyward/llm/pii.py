@@ -87,8 +87,9 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+# A secret is a whole run of its characters, however long, with a digit anywhere in it.
 _WIDE = (
-    ("secret", re.compile(r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,64}[0-9])[A-Za-z0-9_/+=-]{16,512}(?![A-Za-z0-9_/+=-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,}+")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ssn", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])")),
@@ -109,6 +110,7 @@ GAZETTEER = {
 # Words before a span that speak against it.
 AGAINST = frozenset("article chapter commit doi figure isbn issn issue md5 order page part revision section sha1 sha256 table url version volume".split())
 _WORDS = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"[0-9]")
 
 
 def _entropy(text: str) -> float:
@@ -168,6 +170,8 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
         if kind == "email" and "at" not in text and "AT" not in text:
             continue
         for m in pattern.finditer(text):
+            if kind == "secret" and not _DIGIT.search(m[0]):
+                continue
             a, b = m.span()
             i = bisect.bisect_right(taken, a, key=lambda t: t[1])
             hits = i < len(taken) and taken[i][0] < b
