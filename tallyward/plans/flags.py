@@ -159,6 +159,17 @@ class FlagStore:
                 self._entries[key] = [f, 1, self._seq]
                 self._seq += 1
 
+    def add_counts(self, source: str, counts: dict[tuple[str, str, str | None], int]) -> None:
+        """Count flags by (rule id, severity, column) that do not reach the store themselves."""
+        for (rule_id, severity, column), n in counts.items():
+            self._totals[severity] += n
+            a = self._rules.setdefault(rule_id, Aggregate(rule_id, source, severity))
+            a.count += n
+            if RANK[severity] < RANK[a.severity]:
+                a.severity = severity
+            if column is not None:
+                self._columns[column] += n
+
     def _kept(self) -> list[list]:
         if len(self._entries) <= self.cap:
             return list(self._entries.values())

@@ -134,6 +134,7 @@ def check(dataset: Dataset, schemas: SchemaSet | None = None, found: Digest | No
         try:
             flags, summary = validate_schema(raw, corrected, schemas, found)
             store.add(flags)
+            store.add_counts("schema", summary.beyond)
         except Exception as e:
             errors.append(("schema", str(e).split("\n", 1)[0]))
         timed("schema")
@@ -205,8 +206,8 @@ def build_summary(result: Result, exit_code: int = 0, generated_at: str | None =
             "applyCorrections": result.corrections_applied,
         },
         "severityTotals": flags.severity_totals,
-        "rowsAffected": flags.rows_affected,
-        "flagsTruncated": flags.truncated,
+        "rowsAffected": max(flags.rows_affected, result.schema.rows_affected if result.schema else 0),
+        "flagsTruncated": flags.truncated or bool(result.schema and result.schema.flags_truncated),
         "correctedCells": result.corrected_cells,
         "perRule": [{"ruleId": r.rule_id, "status": r.status, "violationCount": r.violation_count, "flagsEmitted": r.flags_emitted, "truncated": r.truncated, "durationMs": r.duration_ms} for r in result.per_rule],
         "schema": None if result.schema is None else {"rowsTotal": result.schema.rows_total, "rowsWithErrors": result.schema.rows_with_errors, "flagsEmitted": result.schema.flags_emitted, "flagsTruncated": result.schema.flags_truncated, "countsByRuleId": result.schema.counts, "elapsedMs": result.schema.elapsed_ms, "aborted": result.schema.aborted},
