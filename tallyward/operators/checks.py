@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.functions.sqltext import quote, to_spark
+from tallyward.functions.sqltext import quote
 from tallyward.operators.assertions import DIRECTIONS, Assertion, parse_assertion, violation
 
 ROW = "__row__"
@@ -128,22 +128,30 @@ def duplicate_records(data: DataFrame, columns: list[str], row_id: str = ROW) ->
     return keyed.join(groups, on).filter("other <> first").select("first", "other")
 
 
-def integer_ladder(text: Column) -> Column:
-    """Text as a whole number: what reads as an integer, or as a finite double without a fraction; else null."""
-    number = guarded_double(text)
-    whole = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf")) & (F.floor(number) == number)
-    return F.when(whole, F.coalesce(text.try_cast("bigint"), F.when(F.abs(number) < 9.2e18, number.try_cast("bigint"))))
+# Casts are SQL text: a dataset has hundreds of columns, and the engine parses a text at once.
+# A pattern comes before each cast, as a cast that fails is slow.
 
 
-def guarded_double(text: Column) -> Column:
-    """Text as a double, without the suffixes that Spark alone reads."""
-    plain = text.cast("string").rlike(r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$")
-    return F.when(plain, F.trim(text.cast("string")).try_cast("double"))
+def integer_sql(text: str) -> str:
+    """SQL for a text as a whole number: what reads as an integer, or as a finite double without a fraction; else null."""
+    number = double_sql(text)
+    long = f"CASE WHEN {text} RLIKE '^\\\\s*[+-]?[0-9]+\\\\s*$' THEN try_cast({text} AS BIGINT) END"
+    return (
+        f"CASE WHEN {text} RLIKE '^[+-]?[0-9]{{1,18}}$' THEN CAST({text} AS BIGINT) "
+        f"WHEN {text} RLIKE '[0-9]' AND rint({number}) = {number} AND abs({number}) < double('Infinity') THEN coalesce({long}, CASE WHEN abs({number}) < 9.2e18D THEN CAST({number} AS BIGINT) END) END"
+    )
+
 
+def double_sql(text: str) -> str:
+    """SQL for a text as a double, without the suffixes that Spark alone reads."""
+    form = r"^\\s*[+-]?((\\d+[.]?\\d*|[.]\\d+)([eE][+-]?\\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\\s*$"
+    return f"CASE WHEN {text} RLIKE '{form}' THEN try_cast(trim({text}) AS DOUBLE) END"
 
-def row_number_within(data: DataFrame, order: list[Column]) -> DataFrame:
-    return data.withColumn("n", F.row_number().over(Window.orderBy(*order)))
+
+def integer_ladder(text: Column) -> Column:
+    """The same for a column that has a name."""
+    return F.expr(integer_sql(quote(str(text._jc))))
 
 
-def compile_condition(sql: str) -> str:
-    return to_spark(sql)
+def guarded_double(text: Column) -> Column:
+    return F.expr(double_sql(quote(str(text._jc))))

@@ -34,7 +34,9 @@ def number_text(v: float) -> str:
             return "Infinity" if v > 0 else "-Infinity"
         if v.is_integer() and abs(v) < 1e21:
             return str(int(v))
-        return repr(v).replace("e+", "e+").replace("e-0", "e-")
+        if 1e-6 <= abs(v) < 1e-4:
+            return format(decimal.Decimal(repr(v)), "f")
+        return repr(v).replace("e-0", "e-")
     return str(v)
 
 

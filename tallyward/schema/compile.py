@@ -1,162 +1,570 @@
-"""Schemas as column expressions: true where a row surely satisfies its schema.
+"""Schemas as column expressions: every error that a row can have, with the condition under which it has it.
 
-Rows for which the expression is true need no further look; only the others go to
-the evaluator, which words their errors. Keywords that have no expression make
-the answer "not sure", never a wrong yes.
+A row is an object of scalars, so the errors that it can have are a closed list: one for each keyword that
+applies to a column or to the row, under each alternative. Conditions are plain column expressions, never null;
+sentences are put together from texts and cells. Nothing here leaves the engine's own code for Python.
+What has no expression (a keyword on the row as a value, columns of lists or objects) raises NotCompiled, and the
+schema goes to the evaluator instead.
 """
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column as Expression
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.functions.sqltext import quote
-from tallyward.schema.digest import Column
+from tallyward.functions.sqltext import literal, quote
+from tallyward.schema import wording
+from tallyward.schema.digest import Column, Digest
 from tallyward.schema.loader import SchemaSet, Site
-from tallyward.schema.validator import pattern
+from tallyward.schema.validator import Validator, pattern, ref_path
+from tallyward.schema.wording import Sentence, Slot, params_text
 
-#: Keywords that say nothing about validity.
-_SILENT = frozenset("$schema $id $comment $defs definitions title description default examples deprecated readOnly writeOnly $anchor unit role universe derivation group".split())
+MAX_DEPTH = 12
+SAFE_INTEGER = 9007199254740991
+MIXED_NUMBER = r"-?(\d+)(\.\d+)?([eE][+-]?\d+)?"
+
+_DAY = r"\d{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12]\d|3[01])|(?:0[469]|11)-(?:0[1-9]|[12]\d|30)|02-(?:0[1-9]|1\d|2[0-8]))"
+_LEAP = r"(?:\d\d(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)-02-29"
+_CLOCK = r"(?:[01]\d|2[0-3]):[0-5]\d:(?:[0-5]\d|60)(?:\.\d+)?(?:[zZ]|[+-]\d\d:?\d\d)"
+_LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+_BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Formats as patterns of the whole text. Others that the evaluator knows are not compiled.
+FORMATS = {
+    "date": f"(?:{_DAY}|{_LEAP})",
+    "time": _CLOCK,
+    "date-time": f"(?:{_DAY}|{_LEAP})[Tt ]{_CLOCK}",
+    "duration": r"P(?!$)(?:(?:\d+Y)?(?:\d+M)?(?:\d+D)?(?:T(?=\d)(?:\d+H)?(?:\d+M)?(?:\d+S)?)?|(?:\d+W)?)",
+    "email": rf"(?i)[a-z0-9!#$%&'*+/=?^_`{{|}}~-]+(?:\.[a-z0-9!#$%&'*+/=?^_`{{|}}~-]+)*@(?:{_LABEL}\.)+{_LABEL}",
+    "hostname": rf"(?i)(?=.{{0,253}}\z){_LABEL}(?:\.{_LABEL})*",
+    "ipv4": rf"{_BYTE}(?:\.{_BYTE}){{3}}",
+    "uuid": r"(?i)(?:urn:uuid:)?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}",
+    "json-pointer": r"(?:/(?:[^~/]|~0|~1)*)*",
+}
+_PYTHON_ONLY = frozenset(("ipv6", "uri", "uri-reference", "regex"))
 
 
 class NotCompiled(Exception):
     pass
 
 
-def _all(parts: list[Expression]) -> Expression:
-    return functools.reduce(lambda a, b: a & b, parts, F.lit(True))
+#: SQL text. A schema of hundreds of columns has thousands of parts, which the engine parses at once.
+Expression = str
+YES, NO, NULL_TEXT, NULL_NUMBER = "true", "false", "CAST(NULL AS STRING)", "CAST(NULL AS DOUBLE)"
+
+
+def all_of(parts: Iterable[Expression]) -> Expression:
+    parts = [p for p in parts if p != YES]
+    return NO if NO in parts else f"({' AND '.join(parts)})" if len(parts) > 1 else parts[0] if parts else YES
+
+
+def any_of(parts: Iterable[Expression]) -> Expression:
+    parts = [p for p in parts if p != NO]
+    return YES if YES in parts else f"({' OR '.join(parts)})" if len(parts) > 1 else parts[0] if parts else NO
+
+
+def is_not(part: Expression) -> Expression:
+    return {YES: NO, NO: YES}.get(part) or f"(NOT {part})"
+
+
+def sure(condition: Expression) -> Expression:
+    return f"coalesce({condition}, false)"
+
+
+def when(*pairs: tuple[Expression, Expression], otherwise: Expression | None = None) -> Expression:
+    pairs = [x for x in pairs if x[0] != NO]
+    if pairs and pairs[0][0] == YES:
+        return pairs[0][1]
+    if not pairs:
+        return otherwise or "NULL"
+    return "(CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in pairs) + (f" ELSE {otherwise}" if otherwise else "") + " END)"
+
+
+def double(v: float) -> Expression:
+    return f"CAST('{float(v)!r}' AS DOUBLE)"
+
+
+def count_of(parts: Sequence[Expression]) -> Expression:
+    """How many conditions hold."""
+    return "(" + " + ".join(["0", *(f"int({p})" for p in parts)]) + ")"
+
+
+def engine_pattern(text: str) -> str:
+    """A pattern of the schema language in the engine's own: $ is the very end; in a class, [ and & stand for themselves."""
+    space = r"\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+    out, inside, i = [], False, 0
+    while i < len(text):
+        c, pair = text[i], text[i : i + 2]
+        if c == "\\" and len(pair) == 2:
+            out.append({"\\s": space if inside else f"[{space}]", "\\S": pair if inside else f"[^{space}]", "\\/": "/"}.get(pair, pair))
+            i += 2
+            continue
+        if c == "[" and not inside:
+            inside = True
+            out.append(c)
+            if text[i + 1 : i + 2] == "^":
+                out.append("^")
+                i += 1
+        elif c == "]" and inside:
+            inside = False
+            out.append(c)
+        else:
+            out.append("\\" + c if inside and c in "[&" else "\\z" if c == "$" and not inside else c)
+        i += 1
+    return "".join(out)
+
+
+def number_words(c: Expression) -> Expression:
+    """A finite double as its text in messages: whole ones without a point, exponents only below 1e-6 and from 1e21 on."""
+    text = f"CAST(abs({c}) AS STRING)"
+    power = f"coalesce(try_cast(regexp_extract({text}, 'E(-?[0-9]+)$', 1) AS INT), 0)"
+    digits = f"regexp_replace(regexp_replace({text}, 'E.*$', ''), '[.]0$', '')"
+    bare = f"replace({digits}, '.', '')"
+    point = f"(length(substring_index({digits}, '.', 1)) + {power})"  # digits before the point
+    plain = when(
+        (f"abs({c}) >= 0.001D AND abs({c}) < 1e7D", f"regexp_replace({text}, '[.]0$', '')"),
+        (f"{point} <= 0", f"concat('0.', repeat('0', -{point}), {bare})"),
+        (f"{point} >= length({bare})", f"rpad({bare}, {point}, '0')"),
+        otherwise=f"concat(substring({bare}, 1, {point}), '.', substring({bare}, {point} + 1))",
+    )
+    powered = f"concat({digits}, if({power} < 0, 'e', 'e+'), CAST({power} AS STRING))"
+    size = when((f"{c} = 0", "'0'"), (f"abs({c}) >= 1e21D OR abs({c}) < 1e-6D", powered), otherwise=plain)
+    return f"concat(if({c} < 0, '-', ''), {size})"
+
 
+def words_of(kind: Expression, text: Expression, number: Expression) -> Expression:
+    """A cell in messages."""
+    return when((f"{kind} = 's'", f"concat(\"'\", {text}, \"'\")"), (f"{kind} = 'n'", number_words(number)), (f"{kind} = 'z'", "'null'"), otherwise=text)
 
-def _any(parts: list[Expression]) -> Expression:
-    return functools.reduce(lambda a, b: a | b, parts, F.lit(False))
+
+def json_of(kind: Expression, text: Expression, number: Expression) -> Expression:
+    """A cell as JSON, null for none."""
+    quoted = f"to_json(named_struct('v', {text}))"
+    return when((f"{kind} = 's'", f"substring({quoted}, 6, length({quoted}) - 6)"), (f"{kind} = 'n'", number_words(number)), (f"{kind} IN ('i', 'b')", text))
+
+
+@dataclass(frozen=True, eq=False)
+class Possible:
+    """An error that a row has where ``holds`` is true."""
+
+    keyword: str
+    #: of the cell that it is about, if it is about one
+    column: str | None
+    #: the value at fault is the cell; else the whole row
+    in_cell: bool
+    schema_path: str
+    params: dict[str, Any]
+    holds: Expression
+    #: it comes with an error about alternatives of the same cell
+    nested: bool = False
+
+    @property
+    def order(self) -> tuple:
+        return ("x" if self.in_cell else "", self.schema_path, self.keyword, params_text(self.params))
 
 
 class Compiler:
     def __init__(self, schemas: SchemaSet, columns: dict[str, Column], present: dict[str, str]):
         self.schemas, self.columns = schemas, columns
         self.present = present  # storage type of each column that is there
+        self.mixed = {n for n in present if n in columns and columns[n].mixed}
+        self.nullable = {n for n in present if n in columns and "null" in columns[n].types}
+
+    # Cells
+
+    def unfinite(self, name: str) -> Expression:
+        c = quote(name)
+        return sure(f"(isnan({c}) OR abs({c}) = double('Infinity'))") if self.present[name] == "double" else NO
+
+    def has(self, name: str) -> Expression:
+        """Whether the row, as an object, has the property."""
+        filled = YES if name in self.nullable else f"{quote(name)} IS NOT NULL"
+        return all_of([filled, is_not(self.unfinite(name))])
+
+    def number(self, name: str) -> tuple[Expression, Expression] | None:
+        """(whether the cell holds a number, that number as a double)."""
+        c, kind = quote(name), self.present[name]
+        if kind in ("bigint", "double"):
+            return all_of([f"{c} IS NOT NULL", is_not(self.unfinite(name))]), c if kind == "double" else f"CAST({c} AS DOUBLE)"
+        if name in self.mixed:
+            return sure(f"{c} RLIKE {literal(rf'\A{MIXED_NUMBER}\z')}"), f"try_cast({c} AS DOUBLE)"
+        return None
 
-    def _column(self, name: str) -> Expression:
-        return F.col(quote(name))
+    def is_text(self, name: str) -> Expression:
+        if self.present[name] != "string":
+            return NO
+        number = self.number(name)
+        return all_of([f"{quote(name)} IS NOT NULL", is_not(number[0]) if number else YES])
 
-    def _equal(self, name: str, v: Any) -> Expression:
-        kind, c = self.present[name], self._column(name)
-        number = isinstance(v, (int, float)) and not isinstance(v, bool)
-        if kind in ("bigint", "double") and number:
-            return c == F.lit(float(v) if kind == "double" else v) if kind == "double" or float(v).is_integer() else F.lit(False)
-        if kind == "string" and isinstance(v, str) or kind == "boolean" and isinstance(v, bool):
-            return c == F.lit(v)
-        return F.lit(False)
+    def is_type(self, name: str, kind: str) -> Expression:
+        number = self.number(name)
+        if kind in ("number", "integer"):
+            return NO if number is None else number[0] if kind == "number" or self.present[name] == "bigint" else sure(f"({number[0]} AND rint({number[1]}) = {number[1]})")
+        if kind == "null":
+            return f"{quote(name)} IS NULL"
+        if kind == "boolean":
+            return f"{quote(name)} IS NOT NULL" if self.present[name] == "boolean" else NO
+        return self.is_text(name) if kind == "string" else NO
 
-    def value(self, site: Site, name: str, depth: int = 0) -> Expression:
-        """Whether a value that is there satisfies a schema."""
+    def equals(self, name: str, v: Any) -> Expression:
+        c = quote(name)
+        if v is None:
+            return f"{c} IS NULL"
+        if isinstance(v, bool):
+            return sure(f"{c} = {str(v).lower()}") if self.present[name] == "boolean" else NO
+        if isinstance(v, (int, float)):
+            number = self.number(name)
+            return sure(f"({number[0]} AND {number[1]} = {double(v)})") if number else NO
+        return sure(f"({self.is_text(name)} AND {c} = {literal(v)})") if isinstance(v, str) and self.present[name] == "string" else NO
+
+    def held(self, name: str) -> dict[str, Expression]:
+        """What a cell holds: its kind (s text, i whole number, n number, b boolean, z null), as text, and as a number."""
+        c, kind, number = quote(name), self.present[name], NULL_NUMBER
+        text = f"CAST({c} AS STRING)"
+        if kind == "bigint":
+            kind, number = f"if({c} BETWEEN -{SAFE_INTEGER} AND {SAFE_INTEGER}, 'i', 'n')", f"CAST({c} AS DOUBLE)"
+        elif kind == "double":
+            kind, number, text = "'n'", c, NULL_TEXT
+        elif name in self.mixed:
+            is_number, number = self.number(name)
+            kind = when((is_not(is_number), "'s'"), (f"{c} RLIKE '[.eE]'", "'n'"), otherwise="'i'")
+            whole = f"regexp_replace({c}, '^(-?)0+(?=[0-9])', '$1')"
+            text = when((is_not(is_number), c), (f"{whole} = '-0'", "'0'"), otherwise=whole)
+        else:
+            kind = "'b'" if kind == "boolean" else "'s'"
+        return {"kind": when((f"{c} IS NULL", "'z'"), otherwise=kind) if name in self.nullable else kind, "text": text, "number": number}
+
+    def row_json(self) -> Expression:
+        """The row as a JSON object of the properties that it has."""
+        parts = [when((self.has(n), f"concat({literal(wording.json.dumps(n, ensure_ascii=False) + ':')}, coalesce({json_of(**self.held(n))}, 'null'))"), otherwise=NULL_TEXT) for n in self.present]
+        return f"concat('{{', concat_ws(',', {', '.join(parts)}), '}}')"
+
+    # Errors of a cell that is there
+
+    def cell(self, site: Site, name: str, where: str, depth: int = 0) -> list[Possible]:
         node = site.node
-        if isinstance(node, bool):
-            return F.lit(node)
-        if depth > 12 or not isinstance(node, dict):
+        if node is True or node == {}:
+            return []
+        if node is False:
+            return [Possible("false schema", name, True, f"{where}/false schema", {}, YES)]
+        if not isinstance(node, dict):
+            return []
+        if depth > MAX_DEPTH:
             raise NotCompiled
-        kind, c = self.present[name], self._column(name)
-        parts: list[Expression] = []
-        for key, v in node.items():
-            if key in _SILENT or key.startswith("x-") or key in ("then", "else"):
+        out: list[Possible] = []
+        sub = lambda place, at: self.cell(place, name, at, depth + 1)
+
+        def fail(keyword: str, bad: Expression, **params: Any) -> None:
+            out.append(Possible(keyword, name, True, f"{where}/{keyword}", params, bad))
+
+        for key in ("$ref", "$dynamicRef"):
+            if isinstance(node.get(key), str) and (target := self.schemas.resolve(site)) is not None:
+                out += sub(target, ref_path(node[key], target, site))
+        if node.get("type") is not None:
+            kinds = node["type"] if isinstance(node["type"], list) else [node["type"]]
+            fail("type", is_not(any_of(self.is_type(name, k) for k in kinds)), type=node["type"])
+        if "const" in node:
+            fail("const", is_not(self.equals(name, node["const"])), allowedValue=node["const"])
+        if isinstance(node.get("enum"), list):
+            fail("enum", is_not(any_of(self.equals(name, x) for x in node["enum"])), allowedValues=node["enum"])
+        limit = lambda key: isinstance(node.get(key), (int, float)) and not isinstance(node[key], bool)
+        number = self.number(name)
+        if number is not None:
+            is_number, n = number
+            for key, sign, bad in (("minimum", ">=", "<"), ("maximum", "<=", ">"), ("exclusiveMinimum", ">", "<="), ("exclusiveMaximum", "<", ">=")):
+                if limit(key):
+                    fail(key, sure(f"({is_number} AND {n} {bad} {double(node[key])})"), comparison=sign, limit=node[key])
+            if limit("multipleOf") and node["multipleOf"] > 0:
+                q = f"({n} / {double(node['multipleOf'])})"
+                fail("multipleOf", sure(f"({is_number} AND abs({q} - rint({q})) > 1e-9D * greatest(1D, abs({q})))"), multipleOf=node["multipleOf"])
+        if self.present[name] == "string":
+            c, text = quote(name), self.is_text(name)
+            for key, bad in (("minLength", "<"), ("maxLength", ">")):
+                if key in node:
+                    fail(key, sure(f"({text} AND length({c}) {bad} {int(node[key])})"), limit=node[key])
+            unlike = lambda form: sure(f"({text} AND NOT {c} RLIKE {literal(form)})")
+            if isinstance(node.get("pattern"), str):
+                pattern(node["pattern"])  # refuses what is no pattern
+                fail("pattern", unlike(engine_pattern(node["pattern"])), pattern=node["pattern"])
+            if node.get("format") in _PYTHON_ONLY:
+                raise NotCompiled
+            if node.get("format") in FORMATS:
+                form = FORMATS[node["format"]]
+                fail("format", unlike(rf"{'(?i)' if form.startswith('(?i)') else ''}\A(?:{form.removeprefix('(?i)')})\z"), format=node["format"])
+        for i in range(len(node.get("allOf") or [])):
+            out += sub(site.child("allOf", i), f"{where}/allOf/{i}")
+        self._alternatives(site, where, out, sub, fail)
+        if "not" in node:
+            fail("not", is_not(self._fails(sub(site.child("not"), f"{where}/not"))))
+        self._branches(site, where, out, sub)
+        return out
+
+    @staticmethod
+    def _fails(possible: Iterable[Possible]) -> Expression:
+        return any_of(p.holds for p in possible)
+
+    def _alternatives(self, site: Site, where: str, out: list[Possible], sub, fail, several: bool = True) -> None:
+        for key in ("anyOf", "oneOf"):
+            if not isinstance(site.node.get(key), list):
                 continue
-            if key == "$ref":
-                target = self.schemas.resolve(site)
-                if target is None:
-                    raise NotCompiled
-                parts.append(self.value(target, name, depth + 1))
-            elif key == "type":
-                kinds = set(v if isinstance(v, list) else [v])
-                if kind == "bigint":
-                    parts.append(F.lit(bool(kinds & {"integer", "number"})))
-                elif kind == "double":
-                    parts.append(F.lit(True) if "number" in kinds else F.floor(c) == c if "integer" in kinds else F.lit(False))
-                else:
-                    parts.append(F.lit(kind in kinds))
-            elif key == "const":
-                parts.append(self._equal(name, v))
-            elif key == "enum":
-                parts.append(_any([self._equal(name, x) for x in v]))
-            elif key in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"):
-                if kind in ("bigint", "double"):
-                    parts.append({"minimum": c >= v, "maximum": c <= v, "exclusiveMinimum": c > v, "exclusiveMaximum": c < v}[key])
-            elif key == "pattern":
-                if kind == "string":
-                    parts.append(c.rlike(pattern(v).pattern.replace("\\Z", "\\z")))
-            elif key in ("minLength", "maxLength"):
-                if kind == "string":
-                    parts.append(F.length(c) >= v if key == "minLength" else F.length(c) <= v)
-            elif key in ("anyOf", "oneOf", "allOf"):
-                own = [self.value(site.child(key, i), name, depth + 1) for i in range(len(v))]
-                parts.append(_all(own) if key == "allOf" else _any(own) if key == "anyOf" else functools.reduce(lambda a, b: a + b, [x.cast("int") for x in own]) == 1)
-            elif key == "not":
-                parts.append(~self.value(site.child("not"), name, depth + 1))
-            else:
+            each = [sub(site.child(key, i), f"{where}/{key}/{i}") for i in range(len(site.node[key]))]
+            none = all_of(self._fails(e) for e in each)
+            out += [replace(p, holds=all_of([none, p.holds]), nested=p.in_cell) for e in each for p in e]
+            if key == "anyOf":
+                fail(key, none)
+                continue
+            passing = count_of([is_not(self._fails(e)) for e in each])
+            fail(key, none, passingSchemas=None)
+            if not several:  # its sentence would list the alternatives that passed
                 raise NotCompiled
-        return _all(parts)
+            fail(key, f"({passing} > 1)", passingSchemas=[0, 1])
+
+    def _branches(self, site: Site, where: str, out: list[Possible], sub) -> None:
+        """Errors of then and else; what says that the condition failed is never told."""
+        if "if" not in site.node:
+            return
+        met = is_not(self._fails(sub(site.child("if"), f"{where}/if")))
+        for key, taken in (("then", met), ("else", is_not(met))):
+            if key in site.node:
+                out += [replace(p, holds=all_of([taken, p.holds])) for p in sub(site.child(key), f"{where}/{key}")]
 
-    def row(self, site: Site, depth: int = 0) -> Expression:
-        """Whether a row, as an object without its nulls, satisfies a schema."""
+    # Errors of a row
+
+    def row(self, site: Site, where: str = "#", depth: int = 0) -> list[Possible]:
         node = site.node
-        if isinstance(node, bool):
-            return F.lit(node)
-        if depth > 12 or not isinstance(node, dict):
+        if node is True or node == {}:
+            return []
+        if node is False:
+            return [Possible("false schema", None, False, f"{where}/false schema", {}, YES)]
+        if not isinstance(node, dict):
+            return []
+        if depth > MAX_DEPTH or "const" in node or "enum" in node:
             raise NotCompiled
-        parts: list[Expression] = []
-        for key, v in node.items():
-            if key in _SILENT or key.startswith("x-") or key in ("then", "else"):
-                continue
-            if key == "$ref":
-                target = self.schemas.resolve(site)
-                if target is None:
-                    raise NotCompiled
-                parts.append(self.row(target, depth + 1))
-            elif key == "type":
-                parts.append(F.lit(v == "object" or isinstance(v, list) and "object" in v))
-            elif key == "properties":
-                for name in v:
-                    if name in self.present:
-                        parts.append(self._column(name).isNull() | self.value(site.child(key, name), name, depth + 1))
-            elif key == "required":
-                parts += [self._column(n).isNotNull() if n in self.present else F.lit(False) for n in v]
-            elif key in ("additionalProperties", "unevaluatedProperties") and v is not True:
-                if v is not False or key == "additionalProperties" and any(n not in (node.get("properties") or {}) for n in self.present):
-                    raise NotCompiled
-                if key == "unevaluatedProperties" and not set(self.present) <= set(self.columns):
+        out: list[Possible] = []
+        sub = lambda place, at: self.row(place, at, depth + 1)
+
+        def fail(keyword: str, bad: Expression, column: str | None = None, **params: Any) -> None:
+            out.append(Possible(keyword, column, False, f"{where}/{keyword}", params, bad))
+
+        def cell(place: Site, name: str, at: str) -> None:
+            out.extend(replace(p, holds=all_of([self.has(name), p.holds])) for p in self.cell(place, name, at, depth + 1))
+
+        for key in ("$ref", "$dynamicRef"):
+            if isinstance(node.get(key), str) and (target := self.schemas.resolve(site)) is not None:
+                out += sub(target, ref_path(node[key], target, site))
+        if node.get("type") is not None and "object" not in (node["type"] if isinstance(node["type"], list) else [node["type"]]):
+            fail("type", YES, type=node["type"])
+        for name in node.get("required") or ():
+            fail("required", is_not(self.has(name)) if name in self.present else YES, name, missingProperty=name)
+        filled = count_of([self.has(n) for n in self.present])
+        if "minProperties" in node:
+            fail("minProperties", f"({filled} < {int(node['minProperties'])})", limit=node["minProperties"])
+        if "maxProperties" in node:
+            fail("maxProperties", f"({filled} > {int(node['maxProperties'])})", limit=node["maxProperties"])
+        escape = lambda text: str(text).replace("~", "~0").replace("/", "~1")
+        known = set(node.get("properties") or ())
+        for name in node.get("properties") or ():
+            if name in self.present:
+                cell(site.child("properties", name), name, f"{where}/properties/{escape(name)}")
+        for text in node.get("patternProperties") or ():
+            for name in self.present:
+                if pattern(text).search(name):
+                    known.add(name)
+                    cell(site.child("patternProperties", text), name, f"{where}/patternProperties/{escape(text)}")
+        if "additionalProperties" in node:
+            for name in self.present:
+                if name in known:
+                    continue
+                if node["additionalProperties"] is False:
+                    fail("additionalProperties", self.has(name), additionalProperty=name)
+                else:
+                    cell(site.child("additionalProperties"), name, f"{where}/additionalProperties")
+        if "propertyNames" in node and any(Validator(self.schemas, site.child("propertyNames")).errors(n) for n in self.present):
+            raise NotCompiled
+        for key in ("dependentRequired", "dependencies", "dependentSchemas"):
+            for name, needed in (node.get(key) or {}).items():
+                if name not in self.present:
+                    continue
+                if isinstance(needed, list) and key != "dependentSchemas":
+                    for other in needed:
+                        fail(key, all_of([self.has(name), is_not(self.has(other)) if other in self.present else YES]), property=name, missingProperty=other)
+                elif isinstance(needed, (dict, bool)) and key != "dependentRequired":
+                    out += [replace(p, holds=all_of([self.has(name), p.holds])) for p in sub(site.child(key, name), f"{where}/{key}/{escape(name)}")]
+        for i in range(len(node.get("allOf") or [])):
+            out += sub(site.child("allOf", i), f"{where}/allOf/{i}")
+        self._alternatives(site, where, out, sub, fail, several=False)
+        if "not" in node:
+            fail("not", is_not(self._fails(sub(site.child("not"), f"{where}/not"))))
+        self._branches(site, where, out, sub)
+        if "unevaluatedProperties" in node:
+            always, sometimes = self._looked_at(site)
+            for name in self.present:
+                if name in always:
+                    continue
+                if name in sometimes:
                     raise NotCompiled
-            elif key in ("additionalProperties", "unevaluatedProperties"):
-                continue
-            elif key in ("allOf", "anyOf", "oneOf"):
-                own = [self.row(site.child(key, i), depth + 1) for i in range(len(v))]
-                parts.append(_all(own) if key == "allOf" else _any(own) if key == "anyOf" else functools.reduce(lambda a, b: a + b, [x.cast("int") for x in own]) == 1)
-            elif key == "not":
-                parts.append(~self.row(site.child("not"), depth + 1))
-            elif key == "if":
-                met = self.row(site.child("if"), depth + 1)
-                then = self.row(site.child("then"), depth + 1) if "then" in node else F.lit(True)
-                other = self.row(site.child("else"), depth + 1) if "else" in node else F.lit(True)
-                parts.append((met & then) | (~met & other))
-            else:
-                raise NotCompiled
-        return _all(parts)
+                if node["unevaluatedProperties"] is False:
+                    out.append(Possible("unevaluatedProperties", None, False, f"{where}/unevaluatedProperties", {"unevaluatedProperty": name}, self.has(name)))
+                else:
+                    cell(site.child("unevaluatedProperties"), name, f"{where}/unevaluatedProperties")
+        return out
+
+    def _looked_at(self, site: Site, depth: int = 0) -> tuple[set[str], set[str]]:
+        """Columns that a schema looks at whatever the row, and those that it looks at for some rows."""
+        node = site.node
+        if not isinstance(node, dict):
+            return set(), set()
+        if depth > MAX_DEPTH:
+            raise NotCompiled
+        always = {n for n in self.present if n in (node.get("properties") or ()) or any(pattern(t).search(n) for t in node.get("patternProperties") or ())}
+        if "additionalProperties" in node or depth and "unevaluatedProperties" in node:
+            always |= set(self.present)
+        sometimes: set[str] = set()
+        places = [site.child("allOf", i) for i in range(len(node.get("allOf") or []))]
+        places += [t for t in [self.schemas.resolve(site) if isinstance(node.get("$ref"), str) else None] if t is not None]
+        for place in places:
+            a, b = self._looked_at(place, depth + 1)
+            always, sometimes = always | a, sometimes | b
+        doubtful = [site.child(k, i) for k in ("anyOf", "oneOf") for i in range(len(node.get(k) or []))]
+        doubtful += [site.child(k) for k in ("if", "then", "else") if k in node] + [site.child("dependentSchemas", k) for k in node.get("dependentSchemas") or {}]
+        for place in doubtful:
+            a, b = self._looked_at(place, depth + 1)
+            sometimes |= a | b
+        return always, sometimes - always
 
 
-def surely_valid(schemas: SchemaSet, site: Site, columns: dict[str, Column], present: dict[str, str]) -> Expression | None:
-    """The expression, or None if the schema has keywords beyond it. Doubles must be finite and integers exact; columns that allow null or mixed values are not compiled."""
-    simple = {"bigint", "double", "string", "boolean"}
-    if any(kind not in simple for kind in present.values()) or any(columns[n].mixed or "null" in columns[n].types for n in present if n in columns):
-        return None
+def surely_valid(schemas: SchemaSet, site: Site, columns: dict[str, Column], present: dict[str, str]) -> F.Column | None:
+    """Whether a row satisfies its schema, or None if the schema is not compiled."""
     try:
-        found = Compiler(schemas, columns, present).row(site)
-    except (NotCompiled, RecursionError):
+        return F.expr(is_not(any_of(p.holds for p in Compiler(schemas, columns, present).row(site))))
+    except NotCompiled:
         return None
-    for name, kind in present.items():
-        c = F.col(quote(name))
-        if kind == "double":
-            found &= c.isNull() | (~F.isnan(c) & (F.abs(c) < float("inf")))
-        elif kind == "bigint":
-            found &= c.isNull() | c.between(-9007199254740991, 9007199254740991)
-    return F.coalesce(found, F.lit(False))
+
+
+class Findings:
+    """Errors that rows can have as findings: one sentence for each thing that is wrong with a cell.
+
+    The same grouping as that of the evaluator's errors, on errors that may be there. Each finding is a
+    struct, null in rows that do not have it, so every condition is evaluated once. It carries the value at
+    fault and the texts around it; ``told`` puts sentences together where there is a finding.
+    """
+
+    def __init__(self, compiler: Compiler, found: Digest, failed: Expression | None):
+        self.compiler, self.found, self.failed = compiler, found, failed
+        self.order = {c.name: i for i, c in enumerate(found.columns)}
+        self.rules = {r.index: r for r in found.conditionals}
+        self.out: list[Expression] = []
+        self.of_rows = False  # some finding tells the whole row
+
+    def _struct(self, rule_id: str, before: Expression, slot: str, after: Expression, held: dict[str, Expression] | None, column: str | None, keyword: str | None, schema_path: str | None, index: int | None = None, scope: str = "cell", first: int | None = None) -> Expression:
+        seq = first if first is not None else 0 if column is None else 1 + self.order.get(column, len(self.order))
+        text = lambda x: NULL_TEXT if x is None else literal(x)
+        held = held or {"kind": "''", "text": NULL_TEXT, "number": NULL_NUMBER}
+        fields = {
+            "rule_id": literal(rule_id), "scope": literal(scope), "column": text(column), "before": before, "slot": literal(slot), "after": after, **held,
+            "keyword": text(keyword), "schema_path": text(schema_path), "conditional_index": f"CAST({'NULL' if index is None else index} AS BIGINT)", "seq": f"CAST({seq} AS BIGINT)",
+        }
+        return f"named_struct({', '.join(f'{literal(k)}, {v}' for k, v in fields.items())})"
+
+    def _said(self, rule_id: str, sentence: Sentence, p: Possible, column: str | None, index: int | None = None, scope: str = "cell", value: bool = True) -> Expression:
+        """A finding with a sentence of at most one slot."""
+        at = next((i for i, x in enumerate(sentence) if isinstance(x, Slot)), len(sentence))
+        slot = "" if at == len(sentence) else sentence[at].name
+        held = self.compiler.held(p.column) if p.in_cell else {"kind": "'r'", "text": NULL_TEXT, "number": NULL_NUMBER}
+        self.of_rows |= value and not p.in_cell
+        return self._struct(rule_id, literal("".join(sentence[:at])), slot, literal("".join(sentence[at + 1 :])), held if value else None, column, p.keyword, p.schema_path, index, scope)
+
+    def told(self, each: DataFrame, row: str) -> DataFrame:
+        """From exploded findings ``x``, next to the columns of their rows, the findings in words."""
+        cell = ("x.kind", "x.text", "x.number")
+        words = when(("x.kind = 'r'", self.compiler.row_json() if self.of_rows else NULL_TEXT), otherwise=words_of(*cell))
+        kinds = "CASE WHEN x.kind = 's' THEN 'string' WHEN x.kind IN ('n', 'i') THEN 'number' WHEN x.kind = 'b' THEN 'boolean' WHEN x.kind = 'z' THEN 'null' ELSE 'object' END"
+        json = when(("x.kind = 's'", json_of("'s'", "x.text", NULL_NUMBER)), ("x.kind IN ('r', 'n', 'i', 'b')", "words"), otherwise=NULL_TEXT)
+        return each.select(row, "x", F.expr(words).alias("words")).selectExpr(
+            "x.rule_id", "x.scope", "'error' AS severity", f"concat(x.before, CASE x.slot WHEN 'VALUE' THEN words WHEN 'KIND' THEN {kinds} ELSE '' END, x.after) AS message",
+            f"CASE WHEN x.scope <> 'column' THEN {row} END AS row", "x.column", f"{json} AS value", "x.keyword", "x.schema_path", "x.conditional_index", "x.seq",
+        )
+
+    @property
+    def array(self) -> Expression:
+        """All findings of a row, null where it does not have one."""
+        return f"array({', '.join(x for x in self.out if x != 'NULL')})"
+
+    def build(self, possible: Sequence[Possible], prop_id, conditional_place) -> Findings:
+        c = self.compiler
+        for i, (name, kind) in enumerate(c.present.items()):
+            if kind == "double":
+                text = when((f"isnan({quote(name)})", "'NaN'"), (f"{quote(name)} > 0", "'Infinity'"), otherwise="'-Infinity'")
+                held = {"kind": "'s'", "text": text, "number": NULL_NUMBER}
+                self.out.append(when((c.unfinite(name), self._struct(prop_id(name, "cast"), text, "", "' is not a finite number.'", held, name, None, None, first=i - len(c.present)))))
+        cells: dict[str, list[Possible]] = {}
+        loose: dict[str, list[Possible]] = {}
+        for p in sorted(possible, key=lambda p: p.order):
+            if p.column is not None:
+                cells.setdefault(p.column, []).append(p)
+            elif p.keyword == "unevaluatedProperties":
+                loose.setdefault(p.params["unevaluatedProperty"], []).append(p)
+            else:
+                sentence = wording.keyword_sentence(p.keyword, p.params, p.schema_path, None)
+                self.out.append(when((p.holds, self._said(f"schema:row:{p.keyword}", sentence, p, None, scope="row", value=False))))
+        for name, ps in loose.items():
+            told = self._said(f"schema:column:{name}:unexpected", (wording.unexpected_text(name),), ps[0], name, scope="column", value=False)
+            self.out.append(when((any_of(p.holds for p in ps), told)))
+        for name in sorted(cells, key=lambda n: (self.order.get(n, len(self.order)), n)):
+            self._cell(name, cells[name], prop_id, conditional_place)
+        return self
+
+    def _cell(self, name: str, possible: list[Possible], prop_id, conditional_place) -> None:
+        c, comp = self.found.by_name.get(name), self.compiler
+        spared = [is_not(comp.unfinite(name))] if comp.present.get(name) == "double" else []
+        if self.failed is not None:
+            spared.append(is_not(sure(f"array_contains({self.failed}, {literal(name)})")))
+        fine = all_of(spared)
+        groups: dict[int, list[Possible]] = {}
+        rest: list[Possible] = []
+        for p in possible:
+            at = conditional_place(p.schema_path)
+            (rest if at is None else groups.setdefault(at, [])).append(p)
+
+        def first_of(ps: Sequence[Possible], told) -> None:
+            """The first of these errors that the row has."""
+            if (first := when(*[(p.holds, told(p)) for p in ps])) != "NULL":
+                self.out.append(when((fine, first)))
+
+        def by_keyword(p: Possible) -> Expression:
+            if p.keyword == "oneOf" and p.params["passingSchemas"]:
+                raise NotCompiled
+            return self._said(prop_id(name, "value"), (*wording.keyword_sentence(p.keyword, p.params, p.schema_path, c), wording.trailer(c)), p, name)
+
+        for index in sorted(groups):
+            rule = self.rules.get(index)
+            if rule is None:
+                for p in groups[index]:
+                    first_of([p], by_keyword)
+                continue
+            target = next((t for t in rule.targets if t.column == name), None)
+            begin = f"when {rule.text}, {name} {target.text if target else 'must satisfy the conditional constraint (see schema)'}."
+            end = f" [Schema note: {rule.comment}]" if rule.comment else ""
+            sentence = (begin + end,) if target and target.kind == "not-const" else (begin + " Found ", Slot.VALUE, "." + end)
+            first_of(groups[index], lambda p, s=sentence, i=index: self._said(f"schema:cond:{i}:{name}", s, p, name, i))
+        required = [p for p in rest if p.keyword == "required" and not p.in_cell]
+        unions = [p for p in rest if p.keyword in ("anyOf", "oneOf") and p.in_cell]
+        # A cell that is missing has no other fault, and one that fits no alternative is told of once.
+        if required and (name in comp.present or c is None):
+            first_of(required, lambda p: self._said(prop_id(name, "required"), (wording.REQUIRED_MESSAGE,), p, name, value=False))
+        if required:
+            fine = all_of([fine, is_not(any_of(p.holds for p in required))])
+        if unions:
+            number = comp.number(name)
+            tests = {"any": YES} | ({} if number is None else {"below": "<", "above": ">"})
+            begins = [(YES if test == "any" else sure(f"({number[0]} AND {number[1]} {tests[test]} {double(bound)})"), literal(words)) for test, bound, (_, words) in wording.complaints(c) if test in tests]
+            begin = when(*begins[:-1], otherwise=begins[-1][1])
+            end = lambda p: literal(wording.alternatives_end(c, bool(p.params.get("passingSchemas"))))
+            first_of(unions, lambda p: self._struct(prop_id(name, "value"), "''", Slot.VALUE.name, f"concat({begin}, {end(p)})", comp.held(name), name, p.keyword, p.schema_path))
+            fine = all_of([fine, is_not(any_of(p.holds for p in unions))])
+        for p in rest:
+            if p not in required and p not in unions and not p.nested:
+                first_of([p], by_keyword)
