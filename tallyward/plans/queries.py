@@ -85,11 +85,12 @@ def assert_match_regex(spark, d):
 
 def _monotonic(direction: str, cmp: str) -> None:
     def run(spark, d):
-        rows = checks.assertion_rows(table(spark, d, "events"), f"monotonic({direction}, order_by=event_id, partition_by=user_id)", "value")
+        tens = table(spark, d, "events").select("event_id", "user_id", F.floor(F.col("value") / 10).alias("tens"))  # has ties
+        rows = checks.assertion_rows(tens, f"monotonic({direction}, order_by=event_id, partition_by=user_id)", "tens")
         return rows.select("event_id", "user_id")
 
     run.__name__ = f"assert_monotonic_{direction}"
-    query(f"SELECT event_id, user_id FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE value {cmp} before")(run)
+    query(f"SELECT event_id, user_id FROM (SELECT *, lag(tens) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT *, floor(value / 10) AS tens FROM events)) WHERE tens {cmp} before")(run)
 
 
 for _direction, _cmp in (("increasing", "<"), ("strict_increasing", "<="), ("decreasing", ">"), ("strict_decreasing", ">=")):
@@ -139,9 +140,9 @@ def rule_percentile_window(spark, d):
     return checks.matching(table(spark, d, "events").select("event_id", "event_type", "value"), condition).select("event_id", "event_type")
 
 
-@query("SELECT event_id FROM (SELECT event_id, (SELECT count(DISTINCT e.event_type) FROM events e WHERE e.user_id = x.user_id) AS n FROM events x) WHERE n < 5")
+@query("SELECT event_id FROM (SELECT event_id, (SELECT count(DISTINCT e.event_type) FROM events e WHERE e.user_id = x.user_id) AS n FROM events x) WHERE n < 7")
 def rule_distinct_window(spark, d):
-    condition = to_spark("COUNT(DISTINCT event_type) OVER (PARTITION BY user_id) < 5")
+    condition = to_spark("COUNT(DISTINCT event_type) OVER (PARTITION BY user_id) < 7")
     return checks.matching(table(spark, d, "events").select("event_id", "event_type", "user_id"), condition).select("event_id")
 
 
@@ -275,12 +276,15 @@ def _order_findings(spark, d):
     return row_findings(typed(raw, plan), cast_failures(raw, plan), schemas, found)
 
 
+_PRICE = r"regexp_replace(CAST(o_totalprice AS VARCHAR), '\.0$', '')"
+
+
 @query(
-    f"SELECT 'schema:prop:o_orderpriority:value' AS rule_id, o_orderkey AS row FROM {_ORDERS_SQL} WHERE o_orderpriority IS NOT NULL AND NOT regexp_matches(o_orderpriority, '^[1-4]-') "
-    f"UNION ALL SELECT 'schema:prop:o_totalprice:value', o_orderkey FROM {_ORDERS_SQL} WHERE o_totalprice <> -1 AND (o_totalprice < 1000 OR o_totalprice > 300000)"
+    f"SELECT 'schema:prop:o_orderpriority:value' AS rule_id, o_orderkey AS row, '''' || o_orderpriority || ''' does not match the expected format (pattern ^[1-4]-).' AS message FROM {_ORDERS_SQL} WHERE o_orderpriority IS NOT NULL AND NOT regexp_matches(o_orderpriority, '^[1-4]-') "
+    f"UNION ALL SELECT 'schema:prop:o_totalprice:value', o_orderkey, {_PRICE} || CASE WHEN o_totalprice < 1000 THEN ' is below the minimum 1,000' ELSE ' exceeds the maximum 300,000' END || ' — expected a number 1,000–300,000, or a missing-value code (-1 Unknown).' FROM {_ORDERS_SQL} WHERE o_totalprice <> -1 AND (o_totalprice < 1000 OR o_totalprice > 300000)"
 )
 def schema_value_flags(spark, d):
-    return _order_findings(spark, d).filter("rule_id like 'schema:prop:%:value'").select("rule_id", "row")
+    return _order_findings(spark, d).filter("rule_id like 'schema:prop:%:value'").select("rule_id", "row", "message")
 
 
 @query("SELECT 'schema:cond:0:o_totalprice' AS rule_id, o_orderkey AS row, 'when o_orderstatus = ''P'', o_totalprice must satisfy the conditional constraint (see schema).' AS text FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000")
