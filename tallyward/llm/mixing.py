@@ -10,7 +10,7 @@ under key boundaries narrow the cut down to a few documents, and only those
 are sorted. A source that holds most rows is therefore no hot partition.
 
 Defined cases: null texts have size 0 and weight 1; null sources form one
-source, ordered last; null ids share one number; equal keys are ordered by id
+source, ordered last; rows without an id are told apart by their text; equal keys are ordered by id
 and size, and rows equal in both are interchangeable; without words all targets
 are 0; an empty table gives an empty result; columns other than those named are
 never read.
@@ -38,9 +38,10 @@ def symbol_weight(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.05), 1 - 10 * share), F.lit(1.0))
 
 
-def uniform(id_col: Column, seed: int) -> Column:
-    """A number between 0 and 1, from 52 bits of a hash of the id."""
-    digits = F.substring(F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13)
+def uniform(id_col: Column, seed: int, text: Column | None = None) -> Column:
+    """A number between 0 and 1, from 52 bits of a hash of the id, or of the text where there is no id."""
+    other = F.lit("") if text is None else F.concat(F.lit("text "), F.xxhash64(text).cast("string"))
+    digits = F.substring(F.md5(F.concat(F.coalesce(id_col.cast("string"), other), F.lit(f":{seed}"))), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -78,7 +79,7 @@ def _ready(docs: DataFrame, id_col: str, source_col: str, size: Column | None, w
     """doc_id, source, size and key of a document."""
     size = n_words(F.col(text_col)) if size is None else size
     weight = symbol_weight(F.col(text_col)) if weight is None else weight
-    key = -F.log(uniform(F.col(id_col), seed)) / weight
+    key = -F.log(uniform(F.col(id_col), seed, F.col(text_col))) / weight
     return [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), key.alias("key")]
 
 
