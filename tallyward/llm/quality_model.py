@@ -12,9 +12,11 @@ The model is fitted on a bounded sample: the SAMPLE rated documents with the
 smallest hash of their id. All documents are scored, in one pass and without a
 shuffle; the model has a fixed size.
 
-Defined cases: a null text counts as empty and scores 0; ratings that are null
-in any column are not used; repeated ratings of one document each count; repeated
-rows get equal scores; without ratings of two grades every document has
+Fitting and scoring read a text alike: as its set of places, in each of which it counts once.
+
+Defined cases: a null text counts as empty, has no features and scores 0; a very long text is read whole;
+ratings that are null in any column are not used; repeated ratings of one document each count, and of
+documents that share an id the one with the least text is rated; repeated rows get equal scores; without ratings of two grades every document has
 the same probabilities; an empty table gives an empty result; columns other
 than those named are never read.
 """
@@ -136,25 +138,41 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, n_grades: int, s
     return OrdinalModel(weights, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])))
 
 
-def _placed(text: str | None) -> np.ndarray:
-    return np.array(sorted({place(f) for f in text_features(text)}), np.int32)
+def text_places(text: str | None, known: dict[str, int] | None = None) -> list[int]:
+    """The distinct places of a text's features, in order; none for an empty text. What is fitted and what is scored."""
+    if not text:
+        return []
+    known = {} if known is None else known
+    if len(known) > 200_000:
+        known.clear()
+    found = set()
+    for f in text_features(text):
+        at = known.get(f)
+        if at is None:
+            at = known[f] = place(f)
+        found.add(at)
+    return sorted(found)
 
 
 def training_sample(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray, list]:
     """Features, grades and ids of the rated documents with the smallest hash of their id, at most ``sample`` ratings."""
     rated = ratings.select(F.col(id_col).alias("doc_id"), grade.cast("int").alias("grade")).dropna()
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
+    chosen = chosen.groupBy("doc_id", "grade").agg(F.count("*").cast("int").alias("times"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` pairs of numbers
+    # At most ``sample`` rows of numbers are broadcast, and one text of each id is kept, so no more texts are read than that.
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade", "times").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
-            placed = [_placed(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(placed, pa.list_(pa.int32()))], names=["doc_id", "grade", "places"])
+            placed = [text_places(t.as_py(), known) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), batch.column("times"), pa.array(placed, pa.list_(pa.int32()))], names=["doc_id", "grade", "times", "places"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = joined.select("doc_id", "grade", "text").mapInArrow(run, f"doc_id {kind}, grade int, places array<int>").toPandas()
+    rows = joined.select("doc_id", "grade", "times", "text").mapInArrow(run, f"doc_id {kind}, grade int, times int, places array<int>").toPandas()
     rows = rows.sort_values(["doc_id", "grade"], kind="stable")
+    rows = rows.loc[rows.index.repeat(rows["times"])]
     return [np.asarray(p, np.int64) for p in rows["places"]], rows["grade"].to_numpy(np.int64), rows["doc_id"].tolist()
 
 
@@ -166,21 +184,10 @@ def score_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known: dict[str, float] = {}
+        known: dict[str, int] = {}
         for batch in batches:
-            scores = []
-            for text in batch.column(1):
-                features = text_features(text.as_py()) if text.is_valid and len(text.as_py()) else ()
-                held = []
-                for f in features:
-                    w = known.get(f)
-                    if w is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        w = known[f] = float(model.weights[place(f)])
-                    if w:
-                        held.append(w)
-                scores.append(math.fsum(held))  # exact, whatever the order
+            # The exact sum, whatever the order.
+            scores = [math.fsum(model.weights[text_places(t.as_py(), known)].tolist()) for t in batch.column(1)]
             scores = np.array(scores)
             p = model.probabilities(scores)
             tail = p[:, -1]
