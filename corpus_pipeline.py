@@ -37,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training bins."""
-    return packing.pack_documents(docs, keep=("lang", "source")).drop("nr")
+    return packing.pack_documents(docs, keep=("lang", "source"))
 
 
 STAGES = [
