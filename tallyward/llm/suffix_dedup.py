@@ -36,7 +36,7 @@ from tallyward.llm.common import Tables, require, settle
 from tallyward.llm.repeats import LENGTH
 
 #: Distinct surroundings of a gram that one task compares, and rows of a batch of grams, about.
-GROUP_ROWS, BATCH_ROWS = 50_000, 4096
+GROUP_ROWS, BATCH_ROWS = 16_384, 4096
 #: Anchors that are broadcast to cut out their bytes; beyond it both sides are shuffled.
 BROADCAST_ANCHORS = 2_000_000
 _U = np.uint64
@@ -126,9 +126,29 @@ def string_hashes(bodies: list[bytes], counts: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def _table(df: DataFrame) -> DataFrame:
-    """The same rows, read from a table in the shared folder."""
-    return Tables(df.sparkSession, "repeats").put(df)
+def suffix_ranks(bodies: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """Place in suffix order, up to LENGTH bytes, of the first ``counts`` strings of each body; equal strings share one.
+
+    By prefix doubling: the order of 8 bytes gives that of 16, and so on; only places with so many bytes
+    before the end of their body take part.
+    """
+    raw = np.frombuffer(b"".join(bodies), np.uint8)
+    lengths = counts + LENGTH - 1
+    n = len(raw)
+    rest = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
+    key = np.zeros(n, _U)
+    for i in range(8):
+        key[: n - i] = (key[: n - i] << _U(8)) | raw[i:]
+    rank = np.zeros(n, np.int64)
+    at = np.flatnonzero(rest >= 8)
+    rank[at] = np.unique(key[at], return_inverse=True)[1]
+    known = 8
+    while known < LENGTH:
+        shift = min(known, LENGTH - known)
+        known += shift
+        at = np.flatnonzero(rest >= known)
+        rank[at] = np.unique(rank[at] * (n + 1) + rank[at + shift], return_inverse=True)[1]
+    return rank[at]
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
@@ -178,18 +198,16 @@ def _bodies(wanted: DataFrame) -> DataFrame:
 def repeated_starts(did: np.ndarray, th: np.ndarray, first: np.ndarray, more: np.ndarray, bodies: list[bytes], keep: str) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest repeated start of each row, -1 without any.
 
-    Strings stand in suffix order up to LENGTH bytes (by their hash), equal ones by
-    document and place: a neighbour above is the previous smaller position, one below a later one.
+    Strings stand in suffix order up to LENGTH bytes, equal ones by document and place. Within a run of equal ones
+    the previous smaller position is the neighbour above, so a string has a longest previous factor of LENGTH or
+    more if it has a neighbour above in its run; a later match is the neighbour below.
     """
     counts = more.astype(np.int64) + 1
-    hashes = string_hashes(bodies, counts)
+    ranks = suffix_ranks(bodies, counts)
     row = np.repeat(np.arange(len(bodies)), counts)
     start = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(len(row))
-    if keep == "first":
-        order = np.lexsort((start, th[row], did[row], hashes))
-    else:
-        order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
+    order = np.lexsort((start, th[row], did[row], ranks))
+    same = ranks[order][1:] == ranks[order][:-1]
     if keep == "first":  # a row that stands there twice is no earlier match of itself
         again = np.ones(len(order) - 1 if len(order) else 0, bool)
         for column in (did[row], th[row], start):
@@ -242,7 +260,7 @@ def _compare(rows: DataFrame, keep: str) -> DataFrame:
     return rows.mapInArrow(run, "did long, th long, a long, b long")
 
 
-def _compare_apart(rows: DataFrame, keep: str) -> DataFrame:
+def _compare_apart(rows: DataFrame, keep: str, tables: Tables) -> DataFrame:
     """The same for any number of rows of a gram: strings are brought together one by one, by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +274,7 @@ def _compare_apart(rows: DataFrame, keep: str) -> DataFrame:
                 take = lambda k: part.column(k).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), take(1), take(2), pa.array(start), take(5)], names=["hash", "did", "th", "start", "alone"])
 
-    strings = _table(rows.mapInArrow(run, "hash long, did long, th long, start long, alone boolean"))
+    strings = tables.put(rows.mapInArrow(run, "hash long, did long, th long, start long, alone boolean"))
     place = F.struct("did", "th", "start")
     seen = strings.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("earliest")).filter("n > 1")
     hits = strings.join(seen, "hash")
@@ -269,20 +287,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
     texts = _keyed(docs, id_col, text_col)
-    found = _table(_anchors(texts.select("did", "th", "text")))
+    tables = Tables(docs.sparkSession, "repeats")
+    found = tables.put(_anchors(texts.select("did", "th", "text")))
     # Written first, so that the join has an exchange of its own on both sides and a frequent gram can be split.
-    often = _table(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
-    found = _table(found.join(often, "gram"))
+    often = tables.put(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
+    found = tables.put(found.join(often, "gram"))
     place = F.struct("did", "th", "first")
-    classes = _table(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("earliest")))
-    several = _table(classes.groupBy("gram").agg(F.count("*").alias("n_classes")).filter("n_classes > 1"))
+    classes = tables.put(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("earliest")))
+    several = tables.put(classes.groupBy("gram").agg(F.count("*").alias("n_classes")).filter("n_classes > 1"))
     told = found.join(classes, ["gram", "context"])
     whole = told.filter("n > 1") if keep == "none" else told.filter((F.col("n") > 1) & (place > F.col("earliest")))
     whole = whole.select("did", "th", F.col("first").alias("a"), (F.col("first") + F.col("more") + LENGTH).alias("b"))
     # One row of each distinct surrounding, where a gram has several.
     left = told.filter(place == F.col("earliest")).join(several, "gram")
     left = left.dropDuplicates(["gram", "context"])
-    left = _table(left.select("did", "th", "gram", "first", "more", (F.col("n") == 1).alias("alone"), "n_classes"))
+    left = tables.put(left.select("did", "th", "gram", "first", "more", (F.col("n") == 1).alias("alone"), "n_classes"))
     wanted = left.groupBy("did", "th").agg(F.collect_list(F.struct("gram", "first", "more", "alone")).alias("anchors"))
     wanted = F.broadcast(wanted) if left.count() <= BROADCAST_ANCHORS else wanted
     distinct = texts.join(wanted, ["did", "th"])
@@ -292,8 +311,40 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = _compare(bodies.join(big, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram"), keep)
     spans = whole.unionByName(near)
     if big.take(1):
-        spans = spans.unionByName(_compare_apart(bodies.join(big, "gram"), keep))
-    return spans.groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        spans = spans.unionByName(_compare_apart(bodies.join(big, "gram"), keep, tables))
+    merged = tables.put(_merged(spans))
+    tables.drop(merged)  # what was needed on the way
+    return merged.groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans with those that overlap or touch as one, within blocks of a text, so that a text gives few rows whatever repeats in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["did", "th", "block", "a", "b"]
+        last: list[int] | None = None  # the span that may still grow
+        for batch in batches:
+            rows = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names])
+            if last is not None:
+                rows = np.concatenate([np.array(last)[:, None], rows], axis=1)
+            if not rows.shape[1]:
+                continue
+            new = np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
+            # Ends so far within a text: in each text they are lifted above all of the texts before.
+            lift = np.cumsum(new) * (np.int64(rows[4].max()) + 1)
+            ends = np.maximum.accumulate(rows[4] + lift) - lift
+            starts = np.flatnonzero(new | np.concatenate([[True], rows[3, 1:] > ends[:-1]]))
+            stops = np.append(starts[1:], rows.shape[1]) - 1
+            last = [*rows[:4, starts[-1]].tolist(), int(ends[stops[-1]])]
+            done = starts[:-1]
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[i, done]) for i in (0, 1, 3)), pa.array(ends[stops[:-1]])], names=["did", "th", "a", "b"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (last[0], last[1], last[3], last[4])], names=["did", "th", "a", "b"])
+
+    blocks = spans.withColumn("block", F.expr(f"a div {repeats._PIECE}")).select("did", "th", "block", "a", "b")
+    return blocks.repartition("did", "th", "block").sortWithinPartitions("did", "th", "block", "a").mapInArrow(run, "did long, th long, a long, b long")
+
+
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
