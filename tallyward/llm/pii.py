@@ -8,7 +8,8 @@ candidate five labelers vote for, against or not at all: pattern, gazetteer of
 words before it, context, character mix and checksum. Expectation-maximisation
 estimates how reliable each labeler is for each kind, from the counts of vote
 patterns over all documents; a logistic span classifier is then trained on the
-resulting probabilities and decides which candidates become spans.
+resulting probabilities, with features that the labelers lack (length, digits, shape, what
+follows), and decides which candidates become spans.
 
 Vote patterns are a closed set of small size whatever the input, so what
 reaches the driver is bounded, and one pass over the texts is enough.
@@ -157,6 +158,14 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     return pattern, gazetteer, context, mix, checksum
 
 
+def shape(text: str, start: int, end: int) -> tuple[int, int]:
+    """What no labeler looks at: the mix of letters and separators of a span (0 to 7), and what follows it (0 to 2)."""
+    span = text[start:end]
+    mixed = any(c.islower() for c in span) + 2 * any(c.isupper() for c in span) + 4 * (not span.isalnum())
+    after = text[end : end + 1]
+    return mixed, 0 if not after or after.isspace() else 1 if after in ".,;:!?)\"']" else 2
+
+
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, vote pattern) of what the wide patterns find."""
     taken: list[list[int]] = []  # base spans, those that overlap as one
@@ -184,10 +193,14 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
             digits = sum(c.isdigit() for c in m[0])
             length = min(3, (b - a) // 16)
             share = min(3, 4 * digits // (b - a))
-            out.append((kind, a, b, f"{kind} " + " ".join(map(str, (*cast, length, share)))))
+            out.append((kind, a, b, f"{kind} " + " ".join(map(str, (*cast, length, share, *shape(text, a, b))))))
     return out
 
 
+#: Values of the features that follow the votes in a pattern: length, digits, shape, what follows.
+FEATURES = (4, 4, 8, 3)
+
+
 @dataclass(frozen=True)
 class SpanModel:
     accepted: frozenset[str]  # vote patterns
@@ -195,7 +208,7 @@ class SpanModel:
 
 
 def fit_spans(patterns: dict[str, int], rounds: int = 50, least: float = 0.5) -> SpanModel:
-    """EM over vote patterns, then a logistic classifier on votes, length and digits trained to its probabilities."""
+    """EM over vote patterns, then a logistic classifier on votes and features of the span, trained to its probabilities."""
     accepted: set[str] = set()
     reliability: dict[str, list[float]] = {}
     for kind in sorted({p.split()[0] for p in patterns}):
@@ -212,12 +225,12 @@ def fit_spans(patterns: dict[str, int], rounds: int = 50, least: float = 0.5) ->
             right = np.clip((agree + 16) / (voted + 20), 0.55, 0.99)  # a prior of 20 votes, 16 of them right
             prior = float(np.clip(((n * q).sum() + 5) / (n.sum() + 10), 0.05, 0.95))
         reliability[kind] = right.tolist()
-        features = np.concatenate([cast, np.eye(4)[x[:, 5]], np.eye(4)[x[:, 6]], np.ones((len(own), 1))], axis=1)
-        w = np.concatenate([np.log(right / (1 - right)), np.zeros(8), [np.log(prior / (1 - prior))]])
-        start, share = w.copy(), n / n.sum()
+        # The classifier starts from nothing and sees length, digits, shape and what follows beside the votes.
+        features = np.concatenate([cast, *(np.eye(size)[x[:, 5 + i]] for i, size in enumerate(FEATURES[: x.shape[1] - 5])), np.ones((len(own), 1))], axis=1)
+        w, share = np.zeros(features.shape[1]), n / n.sum()
         for _ in range(500):
             p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-            w -= 0.5 * (features.T @ (share * (p - q)) + 1e-3 * (w - start))
+            w -= 0.5 * (features.T @ (share * (p - q)) + 1e-3 * w)
         p = 1 / (1 + np.exp(-features @ w))
         accepted.update(pattern for pattern, y in zip(own, p) if y >= least)
     return SpanModel(frozenset(accepted), reliability)
@@ -227,27 +240,36 @@ def _joined(spans: Iterable[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-def scan(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (null without an id column), base spans (joined) and candidates of every document."""
-    require(docs, *[c for c in (id_col, text_col) if c])
-    narrow = docs.select((F.col(id_col) if id_col else F.lit(None).cast("long")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string())])
+_FOUND = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string())])
+_SCANNED = "base string, candidates array<struct<kind:string,start:bigint,end:bigint,pattern:string>>"
+
+
+def _scanned(docs: DataFrame, text_at: int, keep: list[int]) -> DataFrame:
+    """The kept columns, base spans (joined) and candidates of every document."""
+    names = [f"c{i}" for i in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, more = [], []
-            for text in batch.column(1):
+            for text in batch.column(text_at):
                 own = base_spans(t := text.as_py() or "")
                 base.append(_joined((k, a, b) for k, spans in own.items() for a, b in spans))
                 more.append([dict(zip(("kind", "start", "end", "pattern"), c)) for c in candidates(t, own)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.string()), pa.array(more, pa.list_(found))], names=["doc_id", "base", "candidates"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(base, pa.string()), pa.array(more, pa.list_(_FOUND))], names=[*names, "base", "candidates"])
+
+    kinds = [docs.schema[i].dataType.simpleString() for i in keep]
+    return docs.mapInArrow(run, ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), _SCANNED]))
 
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, base string, candidates array<struct<kind:string,start:bigint,end:bigint,pattern:string>>")
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, base spans (joined) and candidates of every document."""
+    require(docs, id_col, text_col)
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _scanned(narrow, 1, [0]).withColumnRenamed("c0", "doc_id")
 
 
 def fit(scanned: DataFrame) -> SpanModel:
-    """The span model from the vote patterns of all candidates; there are at most 6 * 3**5 * 16 of them."""
+    """The span model from the vote patterns of all candidates; there are at most 6 * 3**5 * 384 of them."""
     counts = scanned.select(F.explode("candidates.pattern").alias("pattern")).groupBy("pattern").count().collect()
     return fit_spans({r["pattern"]: r["count"] for r in counts})
 
@@ -281,11 +303,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return resolve(scanned, fit(scanned))
 
 
-def mask(text: str, accepted: frozenset[str]) -> str:
-    """The text with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
-    base = base_spans(text)
-    spans = [(a, b, k) for k, own in base.items() for a, b in own]
-    spans += [(a, b, k) for k, a, b, pattern in candidates(text, base) if pattern in accepted]
+def masked(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
+    """The text with every span (start, end, kind) replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
     out, at = [], 0
     for a, b, k in sorted(spans):
         if a >= at:
@@ -294,23 +313,40 @@ def mask(text: str, accepted: frozenset[str]) -> str:
     return "".join(out) + text[at:]
 
 
+def mask(text: str, accepted: frozenset[str]) -> str:
+    """A text with its base spans and accepted candidates masked."""
+    base = base_spans(text)
+    spans = [(a, b, k) for k, own in base.items() for a, b in own]
+    return masked(text, spans + [(a, b, k) for k, a, b, pattern in candidates(text, base) if pattern in accepted])
+
+
 def redact(docs: DataFrame, model: SpanModel | None = None, text_col: str = "text") -> DataFrame:
-    """All documents with personal data masked and n_chars, if there, up to date; no other column changes."""
+    """All documents with personal data masked and n_chars, if there, up to date; no other column changes.
+
+    Texts are scanned once; what was found is kept beside them until the model is fitted.
+    """
     require(docs, text_col)
-    if model is None:
-        model = fit(scan(docs, None, text_col))
     names, at = docs.columns, docs.columns.index(text_col)
     chars = names.index("n_chars") if "n_chars" in names else -1
+    scanned = _scanned(docs, at, list(range(len(names))))
+    if model is None:
+        scanned = settle(scanned)
+        model = fit(scanned)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accepted = shared.value.accepted
         for batch in batches:
-            texts = [None if t is None else mask(t, accepted) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
+            columns = list(batch.columns[: len(names)])
+            texts = columns[at].to_pylist()
+            for i, (base, more) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())):
+                if base or more:
+                    spans = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in base.split(","))] if base else []
+                    spans += [(c["start"], c["end"], c["kind"]) for c in more if c["pattern"] in accepted]
+                    texts[i] = masked(texts[i], spans)
             columns[at] = pa.array(texts, columns[at].type)
             if chars >= 0:
                 columns[chars] = pa.array([None if t is None else len(t) for t in texts], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return scanned.mapInArrow(run, docs.schema)
