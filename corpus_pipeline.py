@@ -7,12 +7,10 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyward.llm import minhash, mixing, packing, pii, quality_rules
-from tallyward.llm.common import read_table, shared_dir
+from tallyward.llm.common import Tables, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +46,14 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Shingle links and best-fit bins are beyond SQL; tests compare run() with a brute-force version.
+#: Shingle links and best-fit bins are beyond SQL; tests/llm/test_pipeline.py compares run() with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    tables = Tables(spark, "pipeline")
+    for _, stage in STAGES:
+        docs = tables.put(stage(spark, docs, sf_dir))
+        tables.drop(docs)  # the stages before
     return docs
