@@ -2,14 +2,16 @@
 
 Elements that are boilerplate by name, role or class are left out first, unless
 they wrap the story; words under weak marks, such as widget or share, score less. Of the
-remaining tokens words score positive and tags negative, with weights learned
-from labelled pages; one linear scan finds the run with the greatest sum. The
-blocks that the run touches are the text.
+remaining tokens words score positive (but for those in blocks of links, or beside marked
+main text) and tags negative, with log odds learned from labelled pages as weights; one
+linear scan finds the run with the greatest sum. The blocks that the run touches are the
+text: the scan cuts the boilerplate that no name tells.
 
 Defined cases: a null or empty page has an empty text; a page cut off anywhere is
 read as far as it goes, without the broken tag; unbalanced tags close what
 they opened or nothing; repeated rows give equal rows; an empty table gives an
-empty result; columns other than those named are never read. Pages take
+empty result; of runs with equal sums the one that ends first is taken; columns
+other than those named are never read. Pages take
 time linear in their length.
 """
 
@@ -21,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -229,7 +232,8 @@ def judge(parts: list[tuple[str, str, tuple[tuple[str, str], ...], str]]) -> tup
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, text) of what is left in: words with their place, tags, and breaks between blocks.
 
-    Kinds: ``words`` (name: main, outside or plain, with a suffix for links and weakly marked elements), ``tag``, ``break``.
+    Kinds: ``words`` (name: main, outside or plain, with a suffix for links and weakly marked elements), ``tag``, ``break``
+    and ``space``, these with the text main within main text as marked.
     """
     parts = list(tokens(page))
     verdict, has_main = judge(parts)
@@ -252,9 +256,9 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             if own == "out":
                 out_depth += 1
                 if out_depth == 1:
-                    yield "break" if name in BLOCKS else "space", name, ""
+                    yield "break" if name in BLOCKS else "space", name, "main" if has_main and main_depth else ""
             elif not out_depth:
-                yield "break" if name in BLOCKS else "tag", name, ""
+                yield "break" if name in BLOCKS else "tag", name, "main" if has_main and main_depth else ""
         elif kind == "close" and held[name]:
             inside = not out_depth
             while True:
@@ -266,57 +270,119 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 if top == name:
                     break
             if inside:
-                yield "break" if name in BLOCKS else "tag", name, ""
+                yield "break" if name in BLOCKS else "tag", name, "main" if has_main and main_depth else ""
         elif not out_depth:
-            yield "break" if name in BLOCKS else "space" if name == "br" else "tag", name, ""
+            yield "break" if name in BLOCKS else "space" if name == "br" else "tag", name, "main" if has_main and main_depth else ""
 
 
-# Labelled pages are built from these layouts: (before, inside, after), where only "inside" is main text.
+# Labelled pages: a story in some wrapper, with unnamed boilerplate before and after it.
 _PROSE = "The river rose slowly over the week and the people of the old town moved what they could to higher ground. Nobody spoke of leaving, though the water stood in the market square by evening."
-_LINKS = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "World", "Politics", "Sport", "Science", "Contact"))
-_LAYOUTS = (
-    (f"<nav><ul>{_LINKS}</ul></nav><article>", f"<h1>A flood in spring</h1><p>{_PROSE}</p><p><b>Note</b> {_PROSE}<br>{_PROSE}</p><p>End.</p>", "</article><footer>&copy; example</footer>"),
-    (f"<div><ul>{_LINKS}</ul></div><div>", f"<h2>A flood in spring</h2><p>{_PROSE}</p><ul><li>{_PROSE}</li><li>One</li></ul><p>{_PROSE} <a href='/x'>and more</a></p>", f"</div><div><ul>{_LINKS}{_LINKS}</ul></div>"),
-    (f"<table><tr><td><a href='/'>Home</a></td><td><a href='/a'>About</a></td></tr></table><main>", f"<p>{_PROSE}</p><blockquote><p>{_PROSE}</p></blockquote><table><tr><td>1</td><td>two</td></tr></table>", f"</main><div><a href='/t'>Top</a> <a href='/u'>Up</a></div>"),
-    (f"<div><span><a href='/1'>One</a></span> <span><a href='/2'>Two</a></span></div><main><article>", f"<h1>Notes</h1><p><em>{_PROSE}</em></p><h2>Part</h2><pre>{_PROSE}</pre>", f"</article></main><p>Copyright example</p><div><a href='/l'>Legal</a></div>"),
+_LINKS = [f'<a href="/{w}">{w}</a>' for w in ("Home", "World", "Politics", "Sport", "Science", "Contact")]
+_MENU = "<ul>" + "".join(f"<li>{a}</li>" for a in _LINKS) + "</ul>"
+_WRAPPERS = ("<div>{}</div>", "<section>{}</section>", "<table><tr><td>{}</td></tr></table>", "<div><div>{}</div></div>", "<main>{}</main>", "<article>{}</article>")
+_BEFORE = ("", f"<div>{_MENU}</div>", f"<div><span>{'</span> <span>'.join(_LINKS)}</span></div>", f"<table><tr><td>{'</td><td>'.join(_LINKS)}</td></tr></table>", f"<div><div><a href='/n'>New: a bridge</a></div><div>3 May</div>{_MENU}</div>")
+_AFTER = ("", f"<div>{_MENU}{_MENU}</div>", "<p>Copyright example</p><div><a href='/l'>Legal</a></div>", "<div><h3>More</h3><p><a href='/1'>A flood in spring, told by those who were there</a></p><p><a href='/2'>Bridges</a></p></div>", f"<div>{' | '.join(_LINKS)}</div><div>Example Ltd</div>")
+_STORIES = (
+    f"<h1>A flood in spring</h1><p>{_PROSE}</p><p><b>Note</b> {_PROSE}<br>{_PROSE}</p><p>End.</p>",
+    f"<h2>A flood in spring</h2><p>{_PROSE}</p><ul><li>{_PROSE}</li><li>One</li></ul><p>{_PROSE} <a href='/x'>and more</a></p><ul><li>One</li><li>Two things</li><li>A third one</li></ul>",
+    f"<p>{_PROSE}</p><blockquote><p>{_PROSE}</p></blockquote><table><tr><td>1</td><td>two</td></tr></table><p>{_PROSE}</p><ol><li>First</li><li>Then this</li></ol><p>Under the list.</p>",
+    f"<h1>Notes</h1><p><em>{_PROSE}</em></p><h2>Part</h2><pre>{_PROSE}</pre><div>{_PROSE}</div>",
 )
 
 
 def labelled_pages() -> list[list[tuple[bool, str]]]:
-    """Pages as lists of (is main text, html)."""
-    return [[(False, "<html><body>" + a), (True, b), (False, c + "</body></html>")] for a, b, c in _LAYOUTS]
+    """Pages as lists of (is main text, html): every combination of the pieces above."""
+    found = []
+    for wrapper, before, after, story in product(_WRAPPERS, _BEFORE, _AFTER, _STORIES):
+        start, stop = wrapper.split("{}")
+        found.append([(False, f"<html><body>{before}{start}"), (True, story), (False, f"{stop}{after}</body></html>")])
+    return found
+
+
+#: Fewest words of a block of some and of many words.
+_SOME, _MANY = 4, 12
+_HEADINGS = frozenset(("h1", "h2", "h3"))
+
+
+def read_page(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, int]]]:
+    """Tokens as (kind, how many) and blocks as (text, first token, token after the last).
+
+    Words are told apart by their place and by their block: a heading, mostly links, or of few, some or many words;
+    tags by their name and whether they lead to or lie in a block of links, or lie in marked main text.
+    """
+    steps: list[tuple[str, int]] = []
+    blocks: list[tuple[str, int, int]] = []
+    pieces: list[str] = []  # of the block that is being read
+    waiting: list[int] = []  # its words among the steps
+    first, opened, told = 0, "", 0
+
+    def close(closing: str) -> None:
+        nonlocal first, told
+        text = " ".join(html_lib.unescape("".join(pieces)).split())
+        if text:
+            n = sum(steps[i][1] for i in waiting)
+            links = sum(steps[i][1] for i in waiting if steps[i][0].endswith(" link"))
+            kind = "links" if 2 * links > n and not steps[waiting[0]][0].startswith("main") else "head" if opened == closing and opened in _HEADINGS else "many" if n >= _MANY else "some" if n >= _SOME else "few"
+            for i in waiting:
+                place, _, suffix = steps[i][0].partition(" ")
+                steps[i] = f"words {place} {kind}" + (" weak" if suffix == "weak" else ""), steps[i][1]
+            if kind == "links":
+                for i in range(told, len(steps)):
+                    if steps[i][0].startswith("tag ") and not steps[i][0].endswith(" main"):
+                        steps[i] = steps[i][0] + " links", 1
+            blocks.append((text, first, len(steps)))
+            told = len(steps)
+        pieces.clear()
+        waiting.clear()
+        first = len(steps)
+
+    for kind, name, text in events(page):
+        if kind == "words":
+            pieces.append(text)
+            if n := len(text.split()):
+                waiting.append(len(steps))
+                steps.append((name, n))
+            continue
+        if kind == "break":
+            close(name)
+            opened = name
+        elif kind == "space":
+            pieces.append(" ")
+        steps.append((f"tag {name} {text}".rstrip(), 1))
+    close("")
+    return steps, blocks
 
 
 def fit_weights(pages: Iterable[list[tuple[bool, str]]]) -> dict[str, float]:
-    """Scores of token kinds: log odds of lying in main text, kept positive for words of the text and negative for tags."""
+    """Scores of token kinds: log odds of lying in main text, kept negative for tags and positive for words other than links.
+
+    A word's least score is above that of two tags of the text, so that a last block of one word is read.
+    """
     inside, outside = Counter(), Counter()
     for page in pages:
-        whole, marks = "", []
-        for main, part in page:
-            whole += part if not main else "<ins-start></ins-start>" + part + "<ins-stop></ins-stop>"
-            marks.append(main)
         here = False
-        for kind, name, text in events(whole):
-            if name in ("ins-start", "ins-stop"):
-                here = name == "ins-start"
-            elif kind == "words":
-                (inside if here else outside)["words " + name] += len(text.split())
+        for kind, n in read_page("".join(f"<in-main></in-main>{part}<off-main></off-main>" if main else part for main, part in page))[0]:
+            if kind.split()[1] in ("in-main", "off-main"):
+                here = "in-main" in kind
             else:
-                (inside if here else outside)["tag " + name] += 1
+                (inside if here else outside)[kind] += n
     weights = {}
     for kind in inside.keys() | outside.keys():
         odds = math.log((inside[kind] + 1) / (outside[kind] + 1))
         if kind.startswith("tag"):
-            weights[kind] = min(-0.02, max(-4.0, odds))
-        elif "outside" in kind:
-            weights[kind] = max(-4.0, min(-1.0, odds))
+            least, most = -4.0, -0.02
+        elif " outside" in kind:
+            least, most = -4.0, -1.0
+        elif " links" in kind:
+            least, most = -4.0, 4.0
         else:
-            weights[kind] = max(0.2, min(4.0, odds))
+            least, most = 0.05, 4.0
+        weights[kind] = max(least, min(most, odds))
     return weights
 
 
-#: Tags that labelled pages lack.
-_OTHER_TAG = -0.05
+#: Score of tags that labelled pages lack, and of words.
+_OTHER_TAG, _OTHER_WORD = -0.05, 1.0
 #: Share of its score that a word keeps in a weakly marked element.
 _WEAK_SHARE = 0.5
 
@@ -326,45 +392,34 @@ def default_weights() -> dict[str, float]:
     return fit_weights(labelled_pages())
 
 
-def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
-    """The main text: blocks in page order, one to a line."""
-    if not page:
-        return ""
-    weights = default_weights() if weights is None else weights
-    pieces: list[str] = []  # of the block that is being read
-    blocks: list[tuple[str, int, int]] = []  # text, first and last token
-    scores: list[float] = []
-    first = 0
+def score(kind: str, n: int, weights: dict[str, float]) -> float:
+    if kind.startswith("tag"):
+        return n * weights.get(kind, _OTHER_TAG)
+    plain = kind.removesuffix(" weak")
+    return n * weights.get(plain, _OTHER_WORD) * (_WEAK_SHARE if plain != kind else 1.0)
 
-    def close() -> None:
-        nonlocal first
-        text = " ".join(html_lib.unescape("".join(pieces)).split())
-        if text:
-            blocks.append((text, first, len(scores)))
-        pieces.clear()
-        first = len(scores)
 
-    for kind, name, text in events(page):
-        if kind == "words":
-            pieces.append(text)
-            plain = name.removesuffix(" weak")
-            scores.append(len(text.split()) * weights.get("words " + plain, 1.0) * (_WEAK_SHARE if plain != name else 1.0))
-            continue
-        if kind == "break":
-            close()
-        elif kind == "space":
-            pieces.append(" ")
-        scores.append(weights.get("tag " + name, _OTHER_TAG))
-    close()
+def best_run(scores: Iterable[float]) -> tuple[int, int]:
+    """First and end of the run with the greatest sum; (0, 0) where no sum is above 0. Of ties the one that ends first, and of those the shortest."""
     best = total = 0.0
     begin = start = stop = 0
-    for i, score in enumerate(scores):
-        total += score
+    for i, one in enumerate(scores):
+        total += one
         if total > best:
             best, start, stop = total, begin, i + 1
         if total <= 0:
             total, begin = 0.0, i + 1
-    return "\n".join(text for text, a, b in blocks if a < stop and b > start)
+    return start, stop
+
+
+def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
+    """The main text: blocks in page order, one to a line. A page without a run above 0, such as one of links alone, is read as it is."""
+    if not page:
+        return ""
+    weights = default_weights() if weights is None else weights
+    steps, blocks = read_page(page)
+    start, stop = best_run(score(kind, n, weights) for kind, n in steps)
+    return "\n".join(text for text, a, b in blocks if start == stop or a < stop and b > start)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: dict[str, float] | None = None) -> DataFrame:
