@@ -1,8 +1,8 @@
 """Reading one dataset: what format it has, clean column names, a dense row id.
 
-Parquet and large delimited files are read by Spark's readers. Text keeps its
-exact form (no type is guessed). Only workbooks, and delimited files whose
-rows are ragged, are parsed in Python; the latter file by file, on the executors.
+Parquet, JSON and delimited files are read by Spark's readers, wherever they lie
+and whatever their size; ragged rows are mended there too. Text keeps its exact
+form (no type is guessed). Only workbooks are parsed in Python.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import csv
 import io
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,17 +106,49 @@ def with_row_ids(df: DataFrame) -> DataFrame:
     return marked.withColumn(ROW, (place + offset).cast("long")).drop("__nr")
 
 
-def _local_head(path: str, n: int = 65536) -> bytes | None:
-    plain = path.removeprefix("file://")
-    if os.path.isfile(plain):
-        with open(plain, "rb") as f:
-            return f.read(n)
-    return None
+def _file(spark: SparkSession, path: str) -> tuple[object, object]:
+    """File system and path of a file; of a folder's first file that holds data."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        inside = sorted((s for s in fs.listStatus(at) if s.isFile() and s.getPath().getName()[0] not in "._"), key=lambda s: s.getPath().getName())
+        if inside:
+            at = inside[0].getPath()
+    return fs, at
 
 
-def _remote_head(spark: SparkSession, path: str, n: int = 65536) -> bytes:
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("head")).first()
-    return bytes(row["head"]) if row else b""
+def _head(spark: SparkSession, path: str, n: int = 4096) -> bytes:
+    """The first bytes of a file, wherever it lies; no more of it is read."""
+    fs, at = _file(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def _header(spark: SparkSession, path: str, delimiter: str) -> tuple[list[str], bool]:
+    """Cells of the first record that is not blank, however long, and whether blank cells stand before it."""
+    jvm = spark._jvm
+    fs, at = _file(spark, path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(at), "UTF-8"))
+    csv.field_size_limit(1 << 30)
+    lines: list[str] = []
+    begun = before = False
+    try:
+        while (line := reader.readLine()) is not None:
+            lines.append(line if begun else line.removeprefix("\ufeff"))
+            begun = True
+            if sum(x.count('"') for x in lines) % 2:
+                continue
+            cells = next(csv.reader(io.StringIO("\n".join(lines), newline=""), delimiter=delimiter), [])
+            if any(c.strip() for c in cells):
+                return cells, before
+            before = before or bool(lines[0])
+            lines.clear()
+    finally:
+        reader.close()
+    return [], before
 
 
 def _size(spark: SparkSession, path: str) -> int:
@@ -125,55 +157,42 @@ def _size(spark: SparkSession, path: str) -> int:
     return p.getFileSystem(conf).getContentSummary(p).getLength()
 
 
-def delimited_rows(text: str, delimiter: str) -> tuple[list[str], Iterator[list[str | None]], dict[str, int]]:
-    """Header, records (padded or cut to it, empty text as None) and a tally of what was mended; blank lines are passed over."""
-    mended = {"short": 0, "long": 0}
-    csv.field_size_limit(1 << 30)
-    reader = (r for r in csv.reader(io.StringIO(text.removeprefix("﻿"), newline=""), delimiter=delimiter) if any(c.strip() for c in r))
-    header = next(reader, [])
-
-    def records() -> Iterator[list[str | None]]:
-        for r in reader:
-            if len(r) < len(header):
-                mended["short"] += 1
-                r = r + [""] * (len(header) - len(r))
-            elif len(r) > len(header):
-                mended["long"] += 1
-                r = r[: len(header)]
-            yield [c or None for c in r]
-
-    return header, records(), mended
-
-
 def text_frame(spark: SparkSession, names: Sequence[str], rows: list[list[str | None]]) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str, head: bytes, ragged: bool = True) -> tuple[DataFrame, list[str]]:
-    """All columns as text. Small local files are read whole, which mends ragged rows and counts them; others by Spark."""
-    local = path.removeprefix("file://")
-    if ragged and os.path.isfile(local) and os.path.getsize(local) <= WARN_BYTES:
-        with open(local, encoding="utf-8-sig", errors="replace", newline="") as f:
-            header, records, mended = delimited_rows(f.read(), delimiter)
-        rows = list(records)
-        if not header:
-            raise InputError("The file has no header row.")
-        warnings = []
-        if mended["short"]:
-            warnings.append(f"{mended['short']:,} rows had fewer cells than the header; the missing cells are empty.")
-        if mended["long"]:
-            warnings.append(f"{mended['long']:,} rows had more cells than the header; the extra cells were dropped.")
-        return with_row_ids(text_frame(spark, clean_names(header), rows)), warnings
-    header = next(csv.reader(io.StringIO(head.decode("utf-8-sig", "replace"), newline=""), delimiter=delimiter), [])
+def read_delimited(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFrame, list[str]]:
+    """All columns as text, and what was mended.
+
+    Rows with other than the header's number of cells are padded or cut, and counted, on the executors,
+    whatever the size and place of the file. Rows without text are passed over; empty cells are null.
+    """
+    header, blank_before = _header(spark, path, delimiter)
     if not header:
         raise InputError("The file has no header row.")
     names = clean_names(header)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = "__raw"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, raw)])
     read = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
-    df = read.option("multiLine", True).option("nullValue", "").option("emptyValue", "").option("mode", "PERMISSIVE").csv(path)
-    df = df.select(*[F.nullif(F.col(quote(n)), F.lit("")).alias(n) for n in names])
-    return with_row_ids(df), []
+    read = read.option("multiLine", True).option("nullValue", "").option("emptyValue", "").option("maxColumns", max(20480, 4 * len(names)))
+    df = read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw).csv(path)
+    df = df.select(*[F.nullif(F.col(quote(n)), F.lit("")).alias(n) for n in names], raw)
+    # what lies beyond the header's cells counts as text too
+    said = F.concat_ws("", *[F.col(quote(n)) for n in names], F.translate(raw, delimiter + '"', ""))
+    df = df.where(said.rlike(r"(?U)\S"))
+    cells = F.length(F.regexp_replace(F.regexp_replace(raw, '"[^"]*+"', ""), f"[^{delimiter}]++", "")) + 1
+    short, long = (F.count_if(F.col(raw).isNotNull() & c) for c in (cells < len(names), cells > len(names)))
+    mended = df.agg(short.alias("short"), long.alias("long")).first()
+    df = with_row_ids(df.drop(raw))
+    if blank_before:  # the reader took a row of blank cells for the header
+        df = df.where(F.col(ROW) > 0).withColumn(ROW, F.col(ROW) - 1)
+    warnings = []
+    if n := mended["short"]:
+        warnings.append(f"{n:,} rows had fewer cells than the header; the missing cells are empty.")
+    if n := mended["long"]:
+        warnings.append(f"{n:,} rows had more cells than the header; the extra cells were dropped.")
+    return df, warnings
 
 
 def read_json(spark: SparkSession, path: str, head: bytes) -> DataFrame:
@@ -205,11 +224,12 @@ def load_dataset(spark: SparkSession, path: str, sheet: str | None = None, forma
     if verdict == "refuse":
         raise InputError(f"'{name}' has {size:,} bytes; the limit is {refuse_bytes:,}.")
     extension = EXTENSIONS.get(name.rsplit(".", 1)[-1].lower())
-    head = _local_head(path)
-    if head is None:
-        head = b"" if extension == "parquet" else _remote_head(spark, path)
     if size == 0:
         raise InputError(f"'{name}' is empty.")
+    try:
+        head = _head(spark, path)
+    except Exception as e:
+        raise InputError(f"'{path}' cannot be read.") from e
     kind = format or (extension if extension == "parquet" and not head else sniff(name, head))
     warnings: list[str] = []
     chosen = None
@@ -219,7 +239,7 @@ def load_dataset(spark: SparkSession, path: str, sheet: str | None = None, forma
         elif kind == "json":
             df = read_json(spark, path, head)
         elif kind in ("csv", "tsv"):
-            df, warnings = read_delimited(spark, path, "," if kind == "csv" else "\t", head)
+            df, warnings = read_delimited(spark, path, "," if kind == "csv" else "\t")
         elif kind == "xlsx":
             if size > WORKBOOK_BYTES:
                 raise InputError(f"A workbook of more than {WORKBOOK_BYTES:,} bytes cannot be read; save it as Parquet or CSV.")
