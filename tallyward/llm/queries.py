@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_extract, media, minhash, mixing, packing, pii, quality_model, quality_rules, sharding, suffix_dedup
+from tallyward.llm import html_extract, media, merge_pieces, minhash, mixing, packing, pii, quality_model, quality_rules, sharding, suffix_dedup
 from tallyward.llm.common import read_table
 
 
@@ -54,6 +54,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+    return merge_pieces.round_trip(read_table(spark, sf_dir, "documents"), model_path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -66,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": op8_media_columns,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
+        "op13_sentencepiece": op13_sentencepiece,
     }
 
 
