@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_extract, media, merge_pieces, minhash, mixing, packing, pii, quality_model, quality_rules, sharding, suffix_dedup
+from tallyward.llm import html_extract, media, merge_pieces, minhash, mixing, packing, pii, quality_model, quality_rules, sharding, suffix_dedup, whitening
 from tallyward.llm.common import read_table
 
 
@@ -54,6 +54,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(whitening.whiten(read_table(spark, sf_dir, "embeddings"), k=8))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     if model_path is None:
         import public_tokenizers
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": op8_media_columns,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
+        "op11_whitening": op11_whitening,
         "op13_sentencepiece": op13_sentencepiece,
     }
 
