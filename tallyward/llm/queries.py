@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_extract, media, merge_pieces, minhash, mixing, packing, pii, quality_model, quality_rules, sharding, suffix_dedup, whitening
+from tallyward.llm import html_extract, media, merge_pieces, minhash, mixing, packing, pii, prefix_trie, quality_model, quality_rules, sharding, suffix_dedup, whitening
 from tallyward.llm.common import read_table
 
 
@@ -58,6 +58,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(whitening.whiten(read_table(spark, sf_dir, "embeddings"), k=8))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     if model_path is None:
         import public_tokenizers
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
         "op11_whitening": op11_whitening,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_sentencepiece": op13_sentencepiece,
     }
 
@@ -216,6 +221,42 @@ FROM placed
 """,
 }
 
+ORACLE_SQL["op12_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS r,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+steps AS (
+  SELECT list(c ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce(list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                          lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+ids AS (
+  SELECT conv_id AS c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+           lambda c, b: xor(c // 256, crcs[xor(c % 256, b) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), steps),
+parts AS (
+  SELECT c, 0 AS part, r, role, text FROM ids JOIN turns ON conv_id = c - c % 5 AND r < h
+  UNION ALL SELECT c, 1, r, role, text FROM ids JOIN turns ON conv_id = c AND r >= h),
+rebuilt AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, r) AS d, md5(concat(strlen(role), ':', role, text)) AS k, CAST(strlen(text) AS BIGINT) AS b FROM parts),
+keyed AS (
+  SELECT c, 0 AS d, '' AS prefix, 0::BIGINT AS b FROM ids
+  UNION ALL SELECT c, d, string_agg(k, '') OVER (PARTITION BY c ORDER BY d), b FROM rebuilt),
+placed AS (SELECT c, d, b, min(c) OVER (PARTITION BY d, prefix) AS m, max(d) OVER (PARTITION BY c) = d AS last FROM keyed),
+nodes AS (
+  SELECT m, d, count(*) AS n, (count(*) - 1) * max(b) AS saved,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends FROM placed GROUP BY m, d),
+linked AS (SELECT n.*, p.m AS parent FROM nodes n LEFT JOIN placed p ON p.c = n.m AND p.d = n.d - 1),
+kids AS (SELECT parent AS m, d - 1 AS d, count(*) AS kids FROM linked WHERE parent IS NOT NULL GROUP BY 1, 2),
+full_nodes AS (SELECT l.*, coalesce(kids, 0) AS kids FROM linked l LEFT JOIN kids USING (m, d)),
+below AS (
+  SELECT p.m, p.d, sum(f.saved) AS saved, count(*) FILTER (f.kids = 0) AS leaves
+  FROM full_nodes f JOIN placed p ON p.c = f.m AND p.d <= f.d GROUP BY p.m, p.d)
+SELECT m AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n AS n_convs, kids AS n_children, leaves AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM full_nodes f JOIN below b USING (m, d)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
