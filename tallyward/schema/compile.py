@@ -5,6 +5,11 @@ applies to a column or to the row, under each alternative. Conditions are plain
 sentences are put together from texts and cells. Nothing here leaves the engine's own code for Python.
 What has no expression (a keyword on the row as a value, columns of lists or objects) raises NotCompiled, and the
 schema goes to the evaluator instead.
+
+Each error of a cell has two forms. The wide one reads the columns of a row, and conditions between columns are
+made of it. The long one reads a cell on its own (LongCells), with the constants of the schema taken from a small
+table of constraints by column: columns that are checked in the same way share one expression, so a
+table of hundreds of columns has a plan of a few expressions over (row, column, value).
 """
 
 from __future__ import annotations
@@ -160,33 +165,128 @@ class Possible:
     holds: Expression
     #: it comes with an error about alternatives of the same cell
     nested: bool = False
+    #: ``holds`` as wide conditions on the row and one on the cell alone, if it is about a cell
+    guards: tuple[Expression, ...] = ()
+    local: Expression | None = None
+
+    def under(self, condition: Expression, **more: Any) -> Possible:
+        """The same error, only where a condition holds as well."""
+        return replace(self, holds=all_of([condition, self.holds]), guards=(*self.guards, condition), **more)
 
     @property
     def order(self) -> tuple:
         return ("x" if self.in_cell else "", self.schema_path, self.keyword, params_text(self.params))
 
 
+class WideCells:
+    """Cells as columns of their rows, constants in the text of expressions."""
+
+    def at(self, name: str, kind: str) -> Expression:
+        return quote(name)
+
+    def truth(self, name: str, v: bool) -> Expression:
+        return f"{quote(name)} = {str(v).lower()}"
+
+    def whole(self, name: str) -> Expression:
+        """A whole number as text."""
+        return f"CAST({quote(name)} AS STRING)"
+
+    def text(self, name: str, v: str) -> Expression:
+        return literal(v)
+
+    def number(self, name: str, v: float) -> Expression:
+        return double(v)
+
+    def count(self, name: str, v: int) -> Expression:
+        return str(int(v))
+
+    def texts_hold(self, name: str, values: Sequence[str]) -> Expression:
+        return f"{quote(name)} IN ({', '.join(map(literal, values))})"
+
+    def numbers_hold(self, name: str, n: Expression, values: Sequence[float]) -> Expression:
+        return f"{n} IN ({', '.join(map(double, values))})"
+
+    def like(self, name: str, form: str) -> Expression:
+        return f"{quote(name)} RLIKE {literal(form)}"
+
+
+#: Columns of a cell in long form: its text or its number, its constraints, the conditions that its row meets, the patterns that it matches.
+TEXT, NUMBER, BY, MET, LIKE = "__text", "__number", "__by", "__met", "__like"
+
+
+class LongCells:
+    """The cell at hand, and a record of each column's constants in the order in which its expression asks for them."""
+
+    FIELDS = {"texts": "array<string>", "numbers": "array<double>", "counts": "array<bigint>", "text_sets": "array<array<string>>", "number_sets": "array<array<double>>", "patterns": "array<int>"}
+
+    def __init__(self) -> None:
+        self.constants: dict[str, dict[str, list]] = {}
+        self.forms: dict[str, int] = {}
+        self.guards: dict[Expression, int] = {}
+
+    def _slot(self, name: str, field: str, v: Any) -> Expression:
+        held = self.constants.setdefault(name, {f: [] for f in self.FIELDS})[field]
+        held.append(v)
+        return f"{BY}.{field}[{len(held) - 1}]"
+
+    def at(self, name: str, kind: str) -> Expression:
+        return NUMBER if kind in ("bigint", "double") else TEXT
+
+    def truth(self, name: str, v: bool) -> Expression:
+        return f"{TEXT} = '{str(v).lower()}'"
+
+    def whole(self, name: str) -> Expression:
+        return f"CAST(CAST({NUMBER} AS BIGINT) AS STRING)"
+
+    def text(self, name: str, v: str) -> Expression:
+        return self._slot(name, "texts", v)
+
+    def number(self, name: str, v: float) -> Expression:
+        return self._slot(name, "numbers", float(v))
+
+    def count(self, name: str, v: int) -> Expression:
+        return self._slot(name, "counts", int(v))
+
+    def texts_hold(self, name: str, values: Sequence[str]) -> Expression:
+        return f"array_contains({self._slot(name, 'text_sets', list(values))}, {TEXT})"
+
+    def numbers_hold(self, name: str, n: Expression, values: Sequence[float]) -> Expression:
+        return f"array_contains({self._slot(name, 'number_sets', list(map(float, values)))}, {n})"
+
+    def like(self, name: str, form: str) -> Expression:
+        self._slot(name, "patterns", self.forms.setdefault(form, len(self.forms)))
+        return f"{LIKE}[{len(self.constants[name]['patterns']) - 1}]"
+
+    def guard(self, name: str, condition: Expression) -> Expression:
+        return f"{MET}[CAST({self._slot(name, 'counts', self.guards.setdefault(condition, len(self.guards)))} AS INT)]"
+
+
 class Compiler:
-    def __init__(self, schemas: SchemaSet, columns: dict[str, Column], present: dict[str, str]):
+    def __init__(self, schemas: SchemaSet, columns: dict[str, Column], present: dict[str, str], cells: WideCells | LongCells | None = None):
         self.schemas, self.columns = schemas, columns
         self.present = present  # storage type of each column that is there
         self.mixed = {n for n in present if n in columns and columns[n].mixed}
         self.nullable = {n for n in present if n in columns and "null" in columns[n].types}
+        self.cells = cells or WideCells()
+        self.local = Compiler(schemas, columns, present, LongCells()) if cells is None else None
 
     # Cells
 
+    def at(self, name: str) -> Expression:
+        return self.cells.at(name, self.present[name])
+
     def unfinite(self, name: str) -> Expression:
-        c = quote(name)
+        c = self.at(name)
         return sure(f"(isnan({c}) OR abs({c}) = double('Infinity'))") if self.present[name] == "double" else NO
 
     def has(self, name: str) -> Expression:
         """Whether the row, as an object, has the property."""
-        filled = YES if name in self.nullable else f"{quote(name)} IS NOT NULL"
+        filled = YES if name in self.nullable else f"{self.at(name)} IS NOT NULL"
         return all_of([filled, is_not(self.unfinite(name))])
 
     def number(self, name: str) -> tuple[Expression, Expression] | None:
         """(whether the cell holds a number, that number as a double)."""
-        c, kind = quote(name), self.present[name]
+        c, kind = self.at(name), self.present[name]
         if kind in ("bigint", "double"):
             return all_of([f"{c} IS NOT NULL", is_not(self.unfinite(name))]), c if kind == "double" else f"CAST({c} AS DOUBLE)"
         if name in self.mixed:
@@ -197,35 +297,37 @@ class Compiler:
         if self.present[name] != "string":
             return NO
         number = self.number(name)
-        return all_of([f"{quote(name)} IS NOT NULL", is_not(number[0]) if number else YES])
+        return all_of([f"{self.at(name)} IS NOT NULL", is_not(number[0]) if number else YES])
 
     def is_type(self, name: str, kind: str) -> Expression:
         number = self.number(name)
         if kind in ("number", "integer"):
             return NO if number is None else number[0] if kind == "number" or self.present[name] == "bigint" else sure(f"({number[0]} AND rint({number[1]}) = {number[1]})")
         if kind == "null":
-            return f"{quote(name)} IS NULL"
+            return f"{self.at(name)} IS NULL"
         if kind == "boolean":
-            return f"{quote(name)} IS NOT NULL" if self.present[name] == "boolean" else NO
+            return f"{self.at(name)} IS NOT NULL" if self.present[name] == "boolean" else NO
         return self.is_text(name) if kind == "string" else NO
 
-    def equals(self, name: str, v: Any) -> Expression:
-        c = quote(name)
-        if v is None:
-            return f"{c} IS NULL"
-        if isinstance(v, bool):
-            return sure(f"{c} = {str(v).lower()}") if self.present[name] == "boolean" else NO
-        if isinstance(v, (int, float)):
-            number = self.number(name)
-            return sure(f"({number[0]} AND {number[1]} = {double(v)})") if number else NO
-        return sure(f"({self.is_text(name)} AND {c} = {literal(v)})") if isinstance(v, str) and self.present[name] == "string" else NO
+    def one_of(self, name: str, values: Sequence[Any]) -> Expression:
+        """Whether the cell equals one of some values."""
+        parts = [f"{self.at(name)} IS NULL"] if any(v is None for v in values) else []
+        if self.present[name] == "boolean":
+            parts += [sure(self.cells.truth(name, v)) for v in (True, False) if any(x is v for x in values)]
+        numbers = [v for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
+        if numbers and (number := self.number(name)):
+            parts.append(sure(f"({number[0]} AND {self.cells.numbers_hold(name, number[1], numbers)})"))
+        texts = [v for v in values if isinstance(v, str)]
+        if texts and self.present[name] == "string":
+            parts.append(sure(f"({self.is_text(name)} AND {self.cells.texts_hold(name, texts)})"))
+        return any_of(parts)
 
     def held(self, name: str) -> dict[str, Expression]:
         """What a cell holds: its kind (s text, i whole number, n number, b boolean, z null), as text, and as a number."""
-        c, kind, number = quote(name), self.present[name], NULL_NUMBER
+        c, kind, number = self.at(name), self.present[name], NULL_NUMBER
         text = f"CAST({c} AS STRING)"
         if kind == "bigint":
-            kind, number = f"if({c} BETWEEN -{SAFE_INTEGER} AND {SAFE_INTEGER}, 'i', 'n')", f"CAST({c} AS DOUBLE)"
+            kind, number, text = f"if({c} BETWEEN -{SAFE_INTEGER} AND {SAFE_INTEGER}, 'i', 'n')", f"CAST({c} AS DOUBLE)", self.cells.whole(name)
         elif kind == "double":
             kind, number, text = "'n'", c, NULL_TEXT
         elif name in self.mixed:
@@ -267,25 +369,25 @@ class Compiler:
             kinds = node["type"] if isinstance(node["type"], list) else [node["type"]]
             fail("type", is_not(any_of(self.is_type(name, k) for k in kinds)), type=node["type"])
         if "const" in node:
-            fail("const", is_not(self.equals(name, node["const"])), allowedValue=node["const"])
+            fail("const", is_not(self.one_of(name, [node["const"]])), allowedValue=node["const"])
         if isinstance(node.get("enum"), list):
-            fail("enum", is_not(any_of(self.equals(name, x) for x in node["enum"])), allowedValues=node["enum"])
+            fail("enum", is_not(self.one_of(name, node["enum"])), allowedValues=node["enum"])
         limit = lambda key: isinstance(node.get(key), (int, float)) and not isinstance(node[key], bool)
         number = self.number(name)
         if number is not None:
             is_number, n = number
             for key, sign, bad in (("minimum", ">=", "<"), ("maximum", "<=", ">"), ("exclusiveMinimum", ">", "<="), ("exclusiveMaximum", "<", ">=")):
                 if limit(key):
-                    fail(key, sure(f"({is_number} AND {n} {bad} {double(node[key])})"), comparison=sign, limit=node[key])
+                    fail(key, sure(f"({is_number} AND {n} {bad} {self.cells.number(name, node[key])})"), comparison=sign, limit=node[key])
             if limit("multipleOf") and node["multipleOf"] > 0:
-                q = f"({n} / {double(node['multipleOf'])})"
+                q = f"({n} / {self.cells.number(name, node['multipleOf'])})"
                 fail("multipleOf", sure(f"({is_number} AND abs({q} - rint({q})) > 1e-9D * greatest(1D, abs({q})))"), multipleOf=node["multipleOf"])
         if self.present[name] == "string":
-            c, text = quote(name), self.is_text(name)
+            c, text = self.at(name), self.is_text(name)
             for key, bad in (("minLength", "<"), ("maxLength", ">")):
                 if key in node:
-                    fail(key, sure(f"({text} AND length({c}) {bad} {int(node[key])})"), limit=node[key])
-            unlike = lambda form: sure(f"({text} AND NOT {c} RLIKE {literal(form)})")
+                    fail(key, sure(f"({text} AND length({c}) {bad} {self.cells.count(name, node[key])})"), limit=node[key])
+            unlike = lambda form: sure(f"({text} AND NOT {self.cells.like(name, form)})")
             if isinstance(node.get("pattern"), str):
                 pattern(node["pattern"])  # refuses what is no pattern
                 fail("pattern", unlike(engine_pattern(node["pattern"])), pattern=node["pattern"])
@@ -296,7 +398,7 @@ class Compiler:
                 fail("format", unlike(rf"{'(?i)' if form.startswith('(?i)') else ''}\A(?:{form.removeprefix('(?i)')})\z"), format=node["format"])
         for i in range(len(node.get("allOf") or [])):
             out += sub(site.child("allOf", i), f"{where}/allOf/{i}")
-        self._alternatives(site, where, out, sub, fail)
+        self._alternatives(site, where, out, sub, fail, name)
         if "not" in node:
             fail("not", is_not(self._fails(sub(site.child("not"), f"{where}/not"))))
         self._branches(site, where, out, sub)
@@ -306,21 +408,37 @@ class Compiler:
     def _fails(possible: Iterable[Possible]) -> Expression:
         return any_of(p.holds for p in possible)
 
-    def _alternatives(self, site: Site, where: str, out: list[Possible], sub, fail, several: bool = True) -> None:
+    def _alternatives(self, site: Site, where: str, out: list[Possible], sub, fail, name: str | None = None) -> None:
         for key in ("anyOf", "oneOf"):
             if not isinstance(site.node.get(key), list):
                 continue
-            each = [sub(site.child(key, i), f"{where}/{key}/{i}") for i in range(len(site.node[key]))]
-            none = all_of(self._fails(e) for e in each)
-            out += [replace(p, holds=all_of([none, p.holds]), nested=p.in_cell) for e in each for p in e]
+            places = [site.child(key, i) for i in range(len(site.node[key]))]
+            each = [sub(place, f"{where}/{key}/{i}") for i, place in enumerate(places)]
+            codes = [self._code(place) if name else None for place in places]
+            alike = [c[0] for c in codes if c]  # codes are looked up together
+            none = all_of([*(self._fails(e) for e, c in zip(each, codes) if not c), is_not(self.one_of(name, alike)) if alike else YES])
+            for e, c in zip(each, codes):
+                out += [replace(p, holds=none, nested=p.in_cell) if c else p.under(none, nested=p.in_cell) for p in e]
             if key == "anyOf":
                 fail(key, none)
                 continue
             passing = count_of([is_not(self._fails(e)) for e in each])
             fail(key, none, passingSchemas=None)
-            if not several:  # its sentence would list the alternatives that passed
+            if name is None:  # its sentence would list the alternatives that passed
                 raise NotCompiled
-            fail(key, f"({passing} > 1)", passingSchemas=[0, 1])
+            values = [c[0] for c in codes if c]
+            if len(values) < len(codes) or len({(isinstance(v, bool), v) for v in values}) < len(values):
+                fail(key, f"({passing} > 1)", passingSchemas=[0, 1])
+
+    def _code(self, site: Site, depth: int = 0) -> tuple[Any] | None:
+        """The value that a schema asks for, if it asks for nothing else."""
+        node = site.node
+        if not isinstance(node, dict) or depth > MAX_DEPTH or set(node) - {"const", "title", "description", "$comment", "$ref"}:
+            return None
+        if isinstance(node.get("$ref"), str):
+            target = self.schemas.resolve(site) if "const" not in node else None
+            return self._code(target, depth + 1) if target is not None else None
+        return (node["const"],) if "const" in node and not isinstance(node["const"], (dict, list)) else None
 
     def _branches(self, site: Site, where: str, out: list[Possible], sub) -> None:
         """Errors of then and else; what says that the condition failed is never told."""
@@ -329,7 +447,7 @@ class Compiler:
         met = is_not(self._fails(sub(site.child("if"), f"{where}/if")))
         for key, taken in (("then", met), ("else", is_not(met))):
             if key in site.node:
-                out += [replace(p, holds=all_of([taken, p.holds])) for p in sub(site.child(key), f"{where}/{key}")]
+                out += [p.under(taken) for p in sub(site.child(key), f"{where}/{key}")]
 
     # Errors of a row
 
@@ -350,7 +468,8 @@ class Compiler:
             out.append(Possible(keyword, column, False, f"{where}/{keyword}", params, bad))
 
         def cell(place: Site, name: str, at: str) -> None:
-            out.extend(replace(p, holds=all_of([self.has(name), p.holds])) for p in self.cell(place, name, at, depth + 1))
+            for p, own in zip(self.cell(place, name, at, depth + 1), self.local.cell(place, name, at, depth + 1), strict=True):
+                out.append(replace(p, holds=all_of([self.has(name), p.holds]), guards=(), local=all_of([self.local.has(name), own.holds])))
 
         for key in ("$ref", "$dynamicRef"):
             if isinstance(node.get(key), str) and (target := self.schemas.resolve(site)) is not None:
@@ -359,6 +478,8 @@ class Compiler:
             fail("type", YES, type=node["type"])
         for name in node.get("required") or ():
             fail("required", is_not(self.has(name)) if name in self.present else YES, name, missingProperty=name)
+            if name in self.present:
+                out[-1] = replace(out[-1], local=is_not(self.local.has(name)))
         filled = count_of([self.has(n) for n in self.present])
         if "minProperties" in node:
             fail("minProperties", f"({filled} < {int(node['minProperties'])})", limit=node["minProperties"])
@@ -392,10 +513,10 @@ class Compiler:
                     for other in needed:
                         fail(key, all_of([self.has(name), is_not(self.has(other)) if other in self.present else YES]), property=name, missingProperty=other)
                 elif isinstance(needed, (dict, bool)) and key != "dependentRequired":
-                    out += [replace(p, holds=all_of([self.has(name), p.holds])) for p in sub(site.child(key, name), f"{where}/{key}/{escape(name)}")]
+                    out += [p.under(self.has(name)) for p in sub(site.child(key, name), f"{where}/{key}/{escape(name)}")]
         for i in range(len(node.get("allOf") or [])):
             out += sub(site.child("allOf", i), f"{where}/allOf/{i}")
-        self._alternatives(site, where, out, sub, fail, several=False)
+        self._alternatives(site, where, out, sub, fail)
         if "not" in node:
             fail("not", is_not(self._fails(sub(site.child("not"), f"{where}/not"))))
         self._branches(site, where, out, sub)
@@ -450,37 +571,42 @@ class Findings:
     The same grouping as that of the evaluator's errors, on errors that may be there. Each finding is a
     struct, null in rows that do not have it, so every condition is evaluated once. It carries the value at
     fault and the texts around it; ``told`` puts sentences together where there is a finding.
+
+    ``wide`` holds findings about rows and about columns that are not there, ``long`` those about cells: for each column
+    an array as text, which columns with the same checks have in common, and the constants that it asks for.
     """
 
+    FIELDS = "struct<rule_id:string,scope:string,column:string,before:string,slot:string,after:string,kind:string,text:string,number:double,keyword:string,schema_path:string,conditional_index:bigint,seq:bigint>"
+
     def __init__(self, compiler: Compiler, found: Digest, failed: Expression | None):
         self.compiler, self.found, self.failed = compiler, found, failed
         self.order = {c.name: i for i, c in enumerate(found.columns)}
         self.rules = {r.index: r for r in found.conditionals}
-        self.out: list[Expression] = []
-        self.of_rows = False  # some finding tells the whole row
+        self.wide: list[Expression] = []
+        self.long: dict[str, list[Expression]] = {n: [] for n in compiler.present}
 
-    def _struct(self, rule_id: str, before: Expression, slot: str, after: Expression, held: dict[str, Expression] | None, column: str | None, keyword: str | None, schema_path: str | None, index: int | None = None, scope: str = "cell", first: int | None = None) -> Expression:
+    def _struct(self, comp: Compiler, of: str | None, rule_id: str, before: Expression, slot: str, after: Expression, held: dict[str, Expression] | None, column: str | None, keyword: str | None, schema_path: str | None, index: int | None = None, scope: str = "cell", first: int | None = None) -> Expression:
+        """of: the column whose constants the texts are among."""
         seq = first if first is not None else 0 if column is None else 1 + self.order.get(column, len(self.order))
-        text = lambda x: NULL_TEXT if x is None else literal(x)
+        text = lambda x: NULL_TEXT if x is None else comp.cells.text(of, x)
         held = held or {"kind": "''", "text": NULL_TEXT, "number": NULL_NUMBER}
         fields = {
-            "rule_id": literal(rule_id), "scope": literal(scope), "column": text(column), "before": before, "slot": literal(slot), "after": after, **held,
-            "keyword": text(keyword), "schema_path": text(schema_path), "conditional_index": f"CAST({'NULL' if index is None else index} AS BIGINT)", "seq": f"CAST({seq} AS BIGINT)",
+            "rule_id": text(rule_id), "scope": literal(scope), "column": text(column), "before": before, "slot": literal(slot), "after": after, **held,
+            "keyword": text(keyword), "schema_path": text(schema_path), "conditional_index": f"CAST({'NULL' if index is None else comp.cells.count(of, index)} AS BIGINT)", "seq": f"CAST({comp.cells.count(of, seq)} AS BIGINT)",
         }
         return f"named_struct({', '.join(f'{literal(k)}, {v}' for k, v in fields.items())})"
 
-    def _said(self, rule_id: str, sentence: Sentence, p: Possible, column: str | None, index: int | None = None, scope: str = "cell", value: bool = True) -> Expression:
+    def _said(self, comp: Compiler, of: str | None, rule_id: str, sentence: Sentence, p: Possible, column: str | None, index: int | None = None, scope: str = "cell", value: bool = True) -> Expression:
         """A finding with a sentence of at most one slot."""
         at = next((i for i, x in enumerate(sentence) if isinstance(x, Slot)), len(sentence))
         slot = "" if at == len(sentence) else sentence[at].name
-        held = self.compiler.held(p.column) if p.in_cell else {"kind": "'r'", "text": NULL_TEXT, "number": NULL_NUMBER}
-        self.of_rows |= value and not p.in_cell
-        return self._struct(rule_id, literal("".join(sentence[:at])), slot, literal("".join(sentence[at + 1 :])), held if value else None, column, p.keyword, p.schema_path, index, scope)
+        held = None if not value else comp.held(p.column) if p.in_cell else {"kind": "'r'", "text": comp.row_json(), "number": NULL_NUMBER}
+        before, after = (comp.cells.text(of, "".join(part)) for part in (sentence[:at], sentence[at + 1 :]))
+        return self._struct(comp, of, rule_id, before, slot, after, held, column, p.keyword, p.schema_path, index, scope)
 
     def told(self, each: DataFrame, row: str) -> DataFrame:
-        """From exploded findings ``x``, next to the columns of their rows, the findings in words."""
-        cell = ("x.kind", "x.text", "x.number")
-        words = when(("x.kind = 'r'", self.compiler.row_json() if self.of_rows else NULL_TEXT), otherwise=words_of(*cell))
+        """The findings ``x`` of rows in words."""
+        words = when(("x.kind = 'r'", "x.text"), otherwise=words_of("x.kind", "x.text", "x.number"))
         kinds = "CASE WHEN x.kind = 's' THEN 'string' WHEN x.kind IN ('n', 'i') THEN 'number' WHEN x.kind = 'b' THEN 'boolean' WHEN x.kind = 'z' THEN 'null' ELSE 'object' END"
         json = when(("x.kind = 's'", json_of("'s'", "x.text", NULL_NUMBER)), ("x.kind IN ('r', 'n', 'i', 'b')", "words"), otherwise=NULL_TEXT)
         return each.select(row, "x", F.expr(words).alias("words")).selectExpr(
@@ -488,18 +614,51 @@ class Findings:
             f"CASE WHEN x.scope <> 'column' THEN {row} END AS row", "x.column", f"{json} AS value", "x.keyword", "x.schema_path", "x.conditional_index", "x.seq",
         )
 
-    @property
-    def array(self) -> Expression:
-        """All findings of a row, null where it does not have one."""
-        return f"array({', '.join(x for x in self.out if x != 'NULL')})"
+    def plan(self, rows: DataFrame, row: str) -> DataFrame | None:
+        """The findings ``x`` of rows, one each, or None if there can be none: cells in long form next to their constraints."""
+        cells = self.compiler.local.cells
+        names = [n for n, out in self.long.items() if out]
+        if not names and not self.wide:
+            return None
+        shapes: dict[Expression, int] = {}
+        table = []
+        for i, n in enumerate(names):
+            shape = shapes.setdefault(f"array({', '.join(self.long[n])})", len(shapes))
+            held = cells.constants.get(n, {f: [] for f in cells.FIELDS})
+            table.append((i, (shape, n, *held.values())))
+        numeric = lambda n: self.compiler.present[n] in ("bigint", "double")
+        cell = lambda i, text, number, wide: f"named_struct('at', {i}, 'text', {text}, 'number', {number}, 'found', {wide})"
+        nothing = f"CAST(NULL AS ARRAY<{self.FIELDS}>)"
+        spread = [cell(i, *((NULL_TEXT, f"CAST({quote(n)} AS DOUBLE)") if numeric(n) else (f"CAST({quote(n)} AS STRING)", NULL_NUMBER)), nothing) for i, n in enumerate(names)]
+        if self.wide:
+            spread.append(cell(-1, NULL_TEXT, NULL_NUMBER, f"array({', '.join(self.wide)})"))
+        kept = [row, *([self.failed] if self.failed else [])]
+        met = f"array({', '.join(cells.guards)})" if cells.guards else "CAST(NULL AS ARRAY<BOOLEAN>)"
+        each = rows.selectExpr(*kept, f"{met} AS {MET}", f"explode(array({', '.join(spread)})) AS cell")
+        if not names:
+            return each.selectExpr(row, "explode(cell.found) AS x").filter("x IS NOT NULL")
+        fields = ", ".join(f"{f}:{kind}" for f, kind in cells.FIELDS.items())
+        by = rows.sparkSession.createDataFrame(table, f"at int, {BY} struct<shape:int,name:string,{fields}>")  # a row for each column
+        each = each.join(F.broadcast(by), F.col("cell.at") == by.at, "left" if self.wide else "inner")
+        each = each.selectExpr(*kept, MET, BY, f"cell.text AS {TEXT}", f"cell.number AS {NUMBER}", "cell.found AS found")
+        most = max(len(held[-1]) for _, held in table)
+        forms = " ".join(f"WHEN {i} THEN {TEXT} RLIKE {literal(form)}" for form, i in cells.forms.items())
+        hits = [f"CASE get({BY}.patterns, {k}) {forms} END" for k in range(most)]
+        branches = " ".join(f"WHEN {i} THEN {shape}" for shape, i in shapes.items())
+        own = f"CASE {BY}.shape {branches} END"
+        each = each.selectExpr("*", f"array({', '.join(hits)}) AS {LIKE}").selectExpr(row, f"explode({f'coalesce(found, {own})' if self.wide else own}) AS x")
+        return each.filter("x IS NOT NULL")
 
     def build(self, possible: Sequence[Possible], prop_id, conditional_place) -> Findings:
         c = self.compiler
+        own = c.local
         for i, (name, kind) in enumerate(c.present.items()):
             if kind == "double":
-                text = when((f"isnan({quote(name)})", "'NaN'"), (f"{quote(name)} > 0", "'Infinity'"), otherwise="'-Infinity'")
+                at = own.at(name)
+                text = when((f"isnan({at})", "'NaN'"), (f"{at} > 0", "'Infinity'"), otherwise="'-Infinity'")
                 held = {"kind": "'s'", "text": text, "number": NULL_NUMBER}
-                self.out.append(when((c.unfinite(name), self._struct(prop_id(name, "cast"), text, "", "' is not a finite number.'", held, name, None, None, first=i - len(c.present)))))
+                told = self._struct(own, name, prop_id(name, "cast"), text, "", "' is not a finite number.'", held, name, None, None, first=i - len(c.present))
+                self.long[name].append(when((own.unfinite(name), told)))
         cells: dict[str, list[Possible]] = {}
         loose: dict[str, list[Possible]] = {}
         for p in sorted(possible, key=lambda p: p.order):
@@ -509,35 +668,47 @@ class Findings:
                 loose.setdefault(p.params["unevaluatedProperty"], []).append(p)
             else:
                 sentence = wording.keyword_sentence(p.keyword, p.params, p.schema_path, None)
-                self.out.append(when((p.holds, self._said(f"schema:row:{p.keyword}", sentence, p, None, scope="row", value=False))))
+                self.wide.append(when((p.holds, self._said(c, None, f"schema:row:{p.keyword}", sentence, p, None, scope="row", value=False))))
         for name, ps in loose.items():
-            told = self._said(f"schema:column:{name}:unexpected", (wording.unexpected_text(name),), ps[0], name, scope="column", value=False)
-            self.out.append(when((any_of(p.holds for p in ps), told)))
+            told = self._said(c, None, f"schema:column:{name}:unexpected", (wording.unexpected_text(name),), ps[0], name, scope="column", value=False)
+            self.wide.append(when((any_of(p.holds for p in ps), told)))
         for name in sorted(cells, key=lambda n: (self.order.get(n, len(self.order)), n)):
             self._cell(name, cells[name], prop_id, conditional_place)
+        self.wide = [x for x in self.wide if x != "NULL"]
+        self.long = {n: [x for x in out if x != "NULL"] for n, out in self.long.items()}
         return self
 
     def _cell(self, name: str, possible: list[Possible], prop_id, conditional_place) -> None:
-        c, comp = self.found.by_name.get(name), self.compiler
-        spared = [is_not(comp.unfinite(name))] if comp.present.get(name) == "double" else []
-        if self.failed is not None:
-            spared.append(is_not(sure(f"array_contains({self.failed}, {literal(name)})")))
-        fine = all_of(spared)
+        c, wide = self.found.by_name.get(name), self.compiler
+        own = wide.local
+
+        def holds(comp: Compiler, p: Possible) -> Expression:
+            return p.holds if comp is wide else all_of([*(own.cells.guard(name, g) for g in p.guards if g != YES), p.local])
+
+        def fine(comp: Compiler, but: Sequence[Possible]) -> Expression:
+            """Whether the cell could be cast and has none of some errors."""
+            spared = [is_not(comp.unfinite(name))] if comp.present.get(name) == "double" else []
+            if self.failed is not None:
+                spared.append(is_not(sure(f"array_contains({self.failed}, {comp.cells.text(name, name)})")))
+            return all_of([*spared, *(is_not(holds(comp, p)) for p in but)])
+
         groups: dict[int, list[Possible]] = {}
         rest: list[Possible] = []
         for p in possible:
             at = conditional_place(p.schema_path)
             (rest if at is None else groups.setdefault(at, [])).append(p)
 
-        def first_of(ps: Sequence[Possible], told) -> None:
-            """The first of these errors that the row has."""
-            if (first := when(*[(p.holds, told(p)) for p in ps])) != "NULL":
-                self.out.append(when((fine, first)))
+        def first_of(ps: Sequence[Possible], told, but: Sequence[Possible] = (), value: bool = True) -> None:
+            """The first of these errors that the row has; on the cell alone if the row is not told."""
+            alone = name in wide.present and all(p.local is not None and (p.in_cell or not value) for p in (*ps, *but))
+            comp, out = (own, self.long[name]) if alone else (wide, self.wide)
+            if (first := when(*[(holds(comp, p), told(comp, p)) for p in ps])) != "NULL":
+                out.append(when((fine(comp, but), first)))
 
-        def by_keyword(p: Possible) -> Expression:
+        def by_keyword(comp: Compiler, p: Possible) -> Expression:
             if p.keyword == "oneOf" and p.params["passingSchemas"]:
                 raise NotCompiled
-            return self._said(prop_id(name, "value"), (*wording.keyword_sentence(p.keyword, p.params, p.schema_path, c), wording.trailer(c)), p, name)
+            return self._said(comp, name, prop_id(name, "value"), (*wording.keyword_sentence(p.keyword, p.params, p.schema_path, c), wording.trailer(c)), p, name)
 
         for index in sorted(groups):
             rule = self.rules.get(index)
@@ -549,22 +720,23 @@ class Findings:
             begin = f"when {rule.text}, {name} {target.text if target else 'must satisfy the conditional constraint (see schema)'}."
             end = f" [Schema note: {rule.comment}]" if rule.comment else ""
             sentence = (begin + end,) if target and target.kind == "not-const" else (begin + " Found ", Slot.VALUE, "." + end)
-            first_of(groups[index], lambda p, s=sentence, i=index: self._said(f"schema:cond:{i}:{name}", s, p, name, i))
+            first_of(groups[index], lambda comp, p, s=sentence, i=index: self._said(comp, name, f"schema:cond:{i}:{name}", s, p, name, i))
         required = [p for p in rest if p.keyword == "required" and not p.in_cell]
         unions = [p for p in rest if p.keyword in ("anyOf", "oneOf") and p.in_cell]
         # A cell that is missing has no other fault, and one that fits no alternative is told of once.
-        if required and (name in comp.present or c is None):
-            first_of(required, lambda p: self._said(prop_id(name, "required"), (wording.REQUIRED_MESSAGE,), p, name, value=False))
-        if required:
-            fine = all_of([fine, is_not(any_of(p.holds for p in required))])
-        if unions:
+        if required and (name in wide.present or c is None):
+            first_of(required, lambda comp, p: self._said(comp, name, prop_id(name, "required"), (wording.REQUIRED_MESSAGE,), p, name, value=False), value=False)
+
+        def alternatives(comp: Compiler, p: Possible) -> Expression:
             number = comp.number(name)
             tests = {"any": YES} | ({} if number is None else {"below": "<", "above": ">"})
-            begins = [(YES if test == "any" else sure(f"({number[0]} AND {number[1]} {tests[test]} {double(bound)})"), literal(words)) for test, bound, (_, words) in wording.complaints(c) if test in tests]
+            begins = [(YES if test == "any" else sure(f"({number[0]} AND {number[1]} {tests[test]} {comp.cells.number(name, bound)})"), comp.cells.text(name, words)) for test, bound, (_, words) in wording.complaints(c) if test in tests]
             begin = when(*begins[:-1], otherwise=begins[-1][1])
-            end = lambda p: literal(wording.alternatives_end(c, bool(p.params.get("passingSchemas"))))
-            first_of(unions, lambda p: self._struct(prop_id(name, "value"), "''", Slot.VALUE.name, f"concat({begin}, {end(p)})", comp.held(name), name, p.keyword, p.schema_path))
-            fine = all_of([fine, is_not(any_of(p.holds for p in unions))])
+            end = comp.cells.text(name, wording.alternatives_end(c, bool(p.params.get("passingSchemas"))))
+            return self._struct(comp, name, prop_id(name, "value"), "''", Slot.VALUE.name, f"concat({begin}, {end})", comp.held(name), name, p.keyword, p.schema_path)
+
+        if unions:
+            first_of(unions, alternatives, required)
         for p in rest:
             if p not in required and p not in unions and not p.nested:
-                first_of([p], by_keyword)
+                first_of([p], by_keyword, [*required, *unions])
