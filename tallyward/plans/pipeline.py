@@ -25,6 +25,7 @@ from tallyward.report.workbook import write_workbook
 from tallyward.schema.digest import Digest, digest
 from tallyward.schema.loader import SchemaSet, build_schema_set
 from tallyward.schema.run import SchemaSummary, cast_plan, typed, validate_schema
+from tallyward.storage import stored
 from tallyward.sources.artifacts import fetch, read_rule_files, read_schema_entries
 from tallyward.sources.dataset import Dataset, InputError, load_dataset
 
@@ -114,7 +115,7 @@ def check(dataset: Dataset, schemas: SchemaSet | None = None, found: Digest | No
         began = time.monotonic()
 
     say("prepare", "casting")
-    data = typed(raw, cast_plan(found.by_name, raw)) if found else raw
+    data = plain = typed(raw, cast_plan(found.by_name, raw)) if found else raw
     lint = lint_rules(files, data, sandboxes)
     runnable = [f for f in (executable_file(f, r) for f, r in zip(files, lint)) if f is not None]
     if found is None and not any(f.rules for f in runnable):
@@ -132,7 +133,8 @@ def check(dataset: Dataset, schemas: SchemaSet | None = None, found: Digest | No
             return
         say("schema", "validating rows")
         try:
-            flags, summary = validate_schema(raw, corrected, schemas, found)
+            kept = None if corrected is plain else stored(corrected, "corrected")
+            flags, summary = validate_schema(raw, kept, schemas, found)
             store.add(flags)
             store.add_counts("schema", summary.beyond)
         except Exception as e:

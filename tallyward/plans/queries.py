@@ -273,7 +273,7 @@ def _order_findings(spark, d):
     priority = F.when(F.col("o_orderkey") % 10 == 0, None).otherwise(F.col("o_orderpriority"))
     raw = numbered(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", priority.alias("o_orderpriority")), "o_orderkey")
     plan = cast_plan(found.by_name, raw)
-    return row_findings(typed(raw, plan), cast_failures(raw, plan), schemas, found)
+    return row_findings(raw, cast_failures(raw, plan), schemas, found, plan)
 
 
 _PRICE = r"regexp_replace(CAST(o_totalprice AS VARCHAR), '\.0$', '')"

@@ -14,7 +14,7 @@ table of hundreds of columns has a plan of a few expressions over (row, column,
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.sqltext import literal, quote
+from tallyward.operators.checks import double_sql
 from tallyward.schema import wording
 from tallyward.schema.digest import Column, Digest
 from tallyward.schema.loader import SchemaSet, Site
@@ -151,6 +152,24 @@ def json_of(kind: Expression, text: Expression, number: Expression) -> Expressio
     return when((f"{kind} = 's'", f"substring({quoted}, 6, length({quoted}) - 6)"), (f"{kind} = 'n'", number_words(number)), (f"{kind} IN ('i', 'b')", text))
 
 
+@dataclass(frozen=True)
+class Cast:
+    """How a column gets the type that a schema gives it."""
+
+    column: str
+    storage: str
+    #: in SQL
+    expression: Expression
+    #: it cannot turn a text into null
+    safe: bool
+    in_schema: bool
+    place: int = 0
+
+    @property
+    def alias(self) -> str:
+        return f"__cast_{self.place}__"
+
+
 @dataclass(frozen=True, eq=False)
 class Possible:
     """An error that a row has where ``holds`` is true."""
@@ -179,17 +198,20 @@ class Possible:
 
 
 class WideCells:
-    """Cells as columns of their rows, constants in the text of expressions."""
+    """Cells as columns of their rows, or as expressions that cast them; constants in the text of expressions."""
 
-    def at(self, name: str, kind: str) -> Expression:
-        return quote(name)
+    def __init__(self, casts: Mapping[str, Expression] | None = None):
+        self.casts = casts or {}
+
+    def at(self, name: str, kind: str = "") -> Expression:
+        return self.casts.get(name) or quote(name)
 
     def truth(self, name: str, v: bool) -> Expression:
-        return f"{quote(name)} = {str(v).lower()}"
+        return f"{self.at(name)} = {str(v).lower()}"
 
     def whole(self, name: str) -> Expression:
         """A whole number as text."""
-        return f"CAST({quote(name)} AS STRING)"
+        return f"CAST({self.at(name)} AS STRING)"
 
     def text(self, name: str, v: str) -> Expression:
         return literal(v)
@@ -201,22 +223,24 @@ class WideCells:
         return str(int(v))
 
     def texts_hold(self, name: str, values: Sequence[str]) -> Expression:
-        return f"{quote(name)} IN ({', '.join(map(literal, values))})"
+        return f"{self.at(name)} IN ({', '.join(map(literal, values))})"
 
     def numbers_hold(self, name: str, n: Expression, values: Sequence[float]) -> Expression:
         return f"{n} IN ({', '.join(map(double, values))})"
 
     def like(self, name: str, form: str) -> Expression:
-        return f"{quote(name)} RLIKE {literal(form)}"
+        return f"{self.at(name)} RLIKE {literal(form)}"
 
 
-#: Columns of a cell in long form: its text or its number, its constraints, the conditions that its row meets, the patterns that it matches.
-TEXT, NUMBER, BY, MET, LIKE = "__text", "__number", "__by", "__met", "__like"
+#: Columns of a cell in long form: its text or its number, its constraints and the texts about it, the conditions that its row meets, the patterns that it matches, whether it could not be cast.
+TEXT, NUMBER, BY, SAY, MET, LIKE, BAD = "__text", "__number", "__by", "__say", "__met", "__like", "__bad"
 
 
 class LongCells:
     """The cell at hand, and a record of each column's constants in the order in which its expression asks for them."""
 
+    #: What conditions ask for; texts are for sentences.
+    ASKED = ("numbers", "counts", "text_sets", "number_sets")
     FIELDS = {"texts": "array<string>", "numbers": "array<double>", "counts": "array<bigint>", "text_sets": "array<array<string>>", "number_sets": "array<array<double>>", "patterns": "array<int>"}
 
     def __init__(self) -> None:
@@ -227,7 +251,7 @@ class LongCells:
     def _slot(self, name: str, field: str, v: Any) -> Expression:
         held = self.constants.setdefault(name, {f: [] for f in self.FIELDS})[field]
         held.append(v)
-        return f"{BY}.{field}[{len(held) - 1}]"
+        return f"{SAY if field == 'texts' else f'{BY}.{field}'}[{len(held) - 1}]"
 
     def at(self, name: str, kind: str) -> Expression:
         return NUMBER if kind in ("bigint", "double") else TEXT
@@ -262,12 +286,12 @@ class LongCells:
 
 
 class Compiler:
-    def __init__(self, schemas: SchemaSet, columns: dict[str, Column], present: dict[str, str], cells: WideCells | LongCells | None = None):
+    def __init__(self, schemas: SchemaSet, columns: dict[str, Column], present: dict[str, str], cells: WideCells | LongCells | None = None, casts: Mapping[str, Expression] | None = None):
         self.schemas, self.columns = schemas, columns
         self.present = present  # storage type of each column that is there
         self.mixed = {n for n in present if n in columns and columns[n].mixed}
         self.nullable = {n for n in present if n in columns and "null" in columns[n].types}
-        self.cells = cells or WideCells()
+        self.cells = cells or WideCells(casts)
         self.local = Compiler(schemas, columns, present, LongCells()) if cells is None else None
 
     # Cells
@@ -565,6 +589,34 @@ def surely_valid(schemas: SchemaSet, site: Site, columns: dict[str, Column], pre
         return None
 
 
+def one_each(df: DataFrame, kept: Sequence[str], array: Expression, name: str) -> DataFrame:
+    """The kept columns, and the entries of an array that are not null, one each.
+
+    The array is made by one projection and spread by the next, as a generator over hundreds of columns would be
+    interpreted. The planner derives what it knows of columns for each filter and join above, which takes it minutes with
+    expressions as long as these; it knows nothing of what an unpivot gives, so plans above stay short. The outer form
+    keeps it from putting a filter below.
+    """
+    each = df.selectExpr(*kept, f"{array} AS {name}").selectExpr(*kept, f"explode_outer({name}) AS {name}")
+    return apart(each).filter(f"{name} IS NOT NULL")
+
+
+def _portions(branches: Sequence[Expression], size: int = 4000) -> list[Expression]:
+    """Branches of a CASE, as many together as make a text of about a size."""
+    out: list[list[Expression]] = [[]]
+    for b in branches:
+        if out[-1] and sum(map(len, out[-1])) + len(b) > size:
+            out.append([])
+        out[-1].append(b)
+    return [" ".join(x) for x in out]
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows. What follows is planned, and compiled into a method, of its own: methods of over 8,000 bytes are interpreted."""
+    *kept, last = df.columns
+    return df.unpivot([quote(k) for k in kept], [quote(last)], "__name", last).drop("__name")
+
+
 class Findings:
     """Errors that rows can have as findings: one sentence for each thing that is wrong with a cell.
 
@@ -578,12 +630,14 @@ class Findings:
 
     FIELDS = "struct<rule_id:string,scope:string,column:string,before:string,slot:string,after:string,kind:string,text:string,number:double,keyword:string,schema_path:string,conditional_index:bigint,seq:bigint>"
 
-    def __init__(self, compiler: Compiler, found: Digest, failed: Expression | None):
-        self.compiler, self.found, self.failed = compiler, found, failed
+    def __init__(self, compiler: Compiler, found: Digest, failed: Expression | None = None, casts: Mapping[str, Cast] | None = None):
+        """failed: an array of the columns of a row that could not be cast. casts: or, for columns that are still to be cast, how."""
+        self.compiler, self.found, self.failed, self.casts = compiler, found, failed, casts or {}
+        self.uncast = {n for n, c in self.casts.items() if not c.safe}
         self.order = {c.name: i for i, c in enumerate(found.columns)}
         self.rules = {r.index: r for r in found.conditionals}
         self.wide: list[Expression] = []
-        self.long: dict[str, list[Expression]] = {n: [] for n in compiler.present}
+        self.long: dict[str, list[tuple[Expression, Expression]]] = {n: [] for n in compiler.present}  # (whether there is one, the finding)
 
     def _struct(self, comp: Compiler, of: str | None, rule_id: str, before: Expression, slot: str, after: Expression, held: dict[str, Expression] | None, column: str | None, keyword: str | None, schema_path: str | None, index: int | None = None, scope: str = "cell", first: int | None = None) -> Expression:
         """of: the column whose constants the texts are among."""
@@ -620,34 +674,68 @@ class Findings:
         names = [n for n, out in self.long.items() if out]
         if not names and not self.wide:
             return None
-        shapes: dict[Expression, int] = {}
-        table = []
-        for i, n in enumerate(names):
-            shape = shapes.setdefault(f"array({', '.join(self.long[n])})", len(shapes))
-            held = cells.constants.get(n, {f: [] for f in cells.FIELDS})
-            table.append((i, (shape, n, *held.values())))
-        numeric = lambda n: self.compiler.present[n] in ("bigint", "double")
-        cell = lambda i, text, number, wide: f"named_struct('at', {i}, 'text', {text}, 'number', {number}, 'found', {wide})"
+        shapes: dict[tuple[Expression, Expression], int] = {}
+        likes: dict[tuple[int, ...], int] = {}
+        asked, said, cast_as = [], [], {"bigint": 1, "double": 2, "boolean": 3}
+        spread = []
+        own = lambda n: self.casts[n].expression if n in self.casts and n not in self.uncast else quote(n)
+        cell = lambda *values: "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in zip(("at", "kind", "forms", "text", "number", "found"), values)) + ")"
         nothing = f"CAST(NULL AS ARRAY<{self.FIELDS}>)"
-        spread = [cell(i, *((NULL_TEXT, f"CAST({quote(n)} AS DOUBLE)") if numeric(n) else (f"CAST({quote(n)} AS STRING)", NULL_NUMBER)), nothing) for i, n in enumerate(names)]
+        for i, n in enumerate(names):
+            shape = any_of(holds for holds, _ in self.long[n]), f"array({', '.join(x for _, x in self.long[n])})"
+            held = cells.constants.get(n) or {f: [] for f in cells.FIELDS}
+            number = shapes.setdefault(shape, len(shapes))
+            asked.append((i, (number, *(held[f] for f in cells.ASKED))))
+            said.append((i, held["texts"]))
+            numeric = self.compiler.present[n] in ("bigint", "double") and n not in self.uncast
+            value = (NULL_TEXT, f"CAST({own(n)} AS DOUBLE)") if numeric else (f"CAST({own(n)} AS STRING)", NULL_NUMBER)
+            forms = likes.setdefault(tuple(held["patterns"]), len(likes)) if held["patterns"] else -1
+            spread.append(cell(i, cast_as.get(self.casts[n].storage, 0) if n in self.uncast else 0, forms, *value, nothing))
         if self.wide:
-            spread.append(cell(-1, NULL_TEXT, NULL_NUMBER, f"array({', '.join(self.wide)})"))
+            spread.append(cell(-1, 0, -1, NULL_TEXT, NULL_NUMBER, f"array({', '.join(self.wide)})"))
         kept = [row, *([self.failed] if self.failed else [])]
         met = f"array({', '.join(cells.guards)})" if cells.guards else "CAST(NULL AS ARRAY<BOOLEAN>)"
-        each = rows.selectExpr(*kept, f"{met} AS {MET}", f"explode(array({', '.join(spread)})) AS cell")
+        # Columns are cast beforehand for conditions between columns only, all others as cells.
+        told = " ".join((met, *self.wide))
+        early = [f"{c.expression} AS {c.alias}" for n, c in self.casts.items() if c.alias in told]
+        rows = rows.selectExpr("*", *early) if early else rows
         if not names:
-            return each.selectExpr(row, "explode(cell.found) AS x").filter("x IS NOT NULL")
-        fields = ", ".join(f"{f}:{kind}" for f, kind in cells.FIELDS.items())
-        by = rows.sparkSession.createDataFrame(table, f"at int, {BY} struct<shape:int,name:string,{fields}>")  # a row for each column
-        each = each.join(F.broadcast(by), F.col("cell.at") == by.at, "left" if self.wide else "inner")
-        each = each.selectExpr(*kept, MET, BY, f"cell.text AS {TEXT}", f"cell.number AS {NUMBER}", "cell.found AS found")
-        most = max(len(held[-1]) for _, held in table)
-        forms = " ".join(f"WHEN {i} THEN {TEXT} RLIKE {literal(form)}" for form, i in cells.forms.items())
-        hits = [f"CASE get({BY}.patterns, {k}) {forms} END" for k in range(most)]
-        branches = " ".join(f"WHEN {i} THEN {shape}" for shape, i in shapes.items())
-        own = f"CASE {BY}.shape {branches} END"
-        each = each.selectExpr("*", f"array({', '.join(hits)}) AS {LIKE}").selectExpr(row, f"explode({f'coalesce(found, {own})' if self.wide else own}) AS x")
-        return each.filter("x IS NOT NULL")
+            return one_each(rows, [row], f"array({', '.join(self.wide)})", "x")
+        each = one_each(rows.selectExpr(*kept, f"{met} AS {MET}", f"array({', '.join(spread)}) AS cells"), [*kept, MET], "cells", "cell")
+        text, number, bad = "cell.text", "cell.number", NO
+        if self.failed:
+            columns = f"array({', '.join(map(literal, names))})"
+            bad = sure(f"array_contains({self.failed}, get({columns}, cell.at))")
+        elif self.uncast:
+            text = f"CASE WHEN cell.kind = 3 THEN CAST(try_cast({text} AS BOOLEAN) AS STRING) ELSE {text} END"
+            each = each.selectExpr(*kept, MET, "cell", f"CASE WHEN cell.kind IN (1, 2) THEN {double_sql('cell.text')} ELSE {number} END AS read")
+            # What integer_sql() gives, as a double: a whole text beyond 9.2e18 counts if it is a long.
+            number = "CASE WHEN cell.kind <> 1 OR rint(read) = read AND (abs(read) < 9.2e18D OR try_cast(if(cell.text RLIKE '^\\\\s*[+-]?[0-9]+\\\\s*$', cell.text, NULL) AS BIGINT) IS NOT NULL) THEN read END"
+            bad = sure(f"(cell.kind > 0 AND trim(cell.text) <> '' AND CASE WHEN cell.kind = 3 THEN {TEXT} IS NULL ELSE {NUMBER} IS NULL END)")
+        forms = {i: form for form, i in cells.forms.items()}
+        hits = " ".join(f"WHEN {k} THEN array({', '.join(f'{TEXT} RLIKE {literal(forms[i])}' for i in ids)})" for ids, k in likes.items())
+        hits = f"CASE cell.forms {hits} END" if likes else "CAST(NULL AS ARRAY<BOOLEAN>)"
+        each = each.selectExpr(*kept, MET, "cell", f"{text} AS {TEXT}", f"{number} AS {NUMBER}")
+        each = apart(each.selectExpr(*kept, MET, "cell", TEXT, NUMBER, f"{bad} AS {BAD}"))
+        each = each.selectExpr(*kept, MET, "cell.at AS at", "cell.found AS found", TEXT, NUMBER, BAD, f"{hits} AS {LIKE}")
+        # Tables of a row for each column. Whether something is wrong is asked of all cells, sentences are for the few where it is.
+        session = rows.sparkSession
+        fields = ", ".join(f"{f}:{cells.FIELDS[f]}" for f in cells.ASKED)
+        asks = session.createDataFrame(asked, f"ask int, {BY} struct<shape:int,{fields}>")
+        says = session.createDataFrame(said, f"say int, {SAY} array<string>")
+        sentences = f"CASE {BY}.shape {' '.join(f'WHEN {i} THEN {x[1]}' for x, i in shapes.items())} END"
+        each = each.join(F.broadcast(asks), F.col("at") == asks.ask, "left" if self.wide else "inner")
+        parts = (MET, "at", "found", TEXT, NUMBER, BAD, LIKE, BY)
+        some = []
+        for k, branches in enumerate(_portions([f"WHEN {i} THEN {x[0]}" for x, i in shapes.items()])):
+            some.append(f"__some_{k}")
+            each = apart(each.selectExpr(*kept, *parts, *some[:-1], f"coalesce(CASE {BY}.shape {branches} END, false) AS {some[-1]}"))
+        if self.wide:
+            some.append("found IS NOT NULL")
+        wrong = f"CASE WHEN {' OR '.join(some)} THEN array(named_struct({', '.join(f'{literal(x)}, {x}' for x in parts)})) END"
+        each = one_each(each, kept, wrong, "cell").select(*kept, "cell.*")
+        each = each.join(F.broadcast(says), F.col("at") == says.say, "left" if self.wide else "inner")
+        return one_each(each, [row], f"coalesce(found, {sentences})" if self.wide else sentences, "x")
 
     def build(self, possible: Sequence[Possible], prop_id, conditional_place) -> Findings:
         c = self.compiler
@@ -658,7 +746,7 @@ class Findings:
                 text = when((f"isnan({at})", "'NaN'"), (f"{at} > 0", "'Infinity'"), otherwise="'-Infinity'")
                 held = {"kind": "'s'", "text": text, "number": NULL_NUMBER}
                 told = self._struct(own, name, prop_id(name, "cast"), text, "", "' is not a finite number.'", held, name, None, None, first=i - len(c.present))
-                self.long[name].append(when((own.unfinite(name), told)))
+                self.long[name].append((own.unfinite(name), when((own.unfinite(name), told))))
         cells: dict[str, list[Possible]] = {}
         loose: dict[str, list[Possible]] = {}
         for p in sorted(possible, key=lambda p: p.order):
@@ -674,8 +762,8 @@ class Findings:
             self.wide.append(when((any_of(p.holds for p in ps), told)))
         for name in sorted(cells, key=lambda n: (self.order.get(n, len(self.order)), n)):
             self._cell(name, cells[name], prop_id, conditional_place)
-        self.wide = [x for x in self.wide if x != "NULL"]
-        self.long = {n: [x for x in out if x != "NULL"] for n, out in self.long.items()}
+        self.wide = [x for x in self.wide if x not in ("NULL", "(CASE WHEN NULL THEN NULL END)")]
+        self.long = {n: [x for x in out if x[0] != NO] for n, out in self.long.items()}
         return self
 
     def _cell(self, name: str, possible: list[Possible], prop_id, conditional_place) -> None:
@@ -689,7 +777,9 @@ class Findings:
             """Whether the cell could be cast and has none of some errors."""
             spared = [is_not(comp.unfinite(name))] if comp.present.get(name) == "double" else []
             if self.failed is not None:
-                spared.append(is_not(sure(f"array_contains({self.failed}, {comp.cells.text(name, name)})")))
+                spared.append(is_not(sure(f"array_contains({self.failed}, {literal(name)})" if comp is wide else BAD)))
+            if name in self.uncast:
+                spared.append(is_not(sure(f"(trim(CAST({quote(name)} AS STRING)) <> '' AND {wide.at(name)} IS NULL)") if comp is wide else BAD))
             return all_of([*spared, *(is_not(holds(comp, p)) for p in but)])
 
         groups: dict[int, list[Possible]] = {}
@@ -701,9 +791,13 @@ class Findings:
         def first_of(ps: Sequence[Possible], told, but: Sequence[Possible] = (), value: bool = True) -> None:
             """The first of these errors that the row has; on the cell alone if the row is not told."""
             alone = name in wide.present and all(p.local is not None and (p.in_cell or not value) for p in (*ps, *but))
-            comp, out = (own, self.long[name]) if alone else (wide, self.wide)
-            if (first := when(*[(holds(comp, p), told(comp, p)) for p in ps])) != "NULL":
-                out.append(when((fine(comp, but), first)))
+            comp = own if alone else wide
+            each, spared = [(holds(comp, p), told(comp, p)) for p in ps], fine(comp, but)
+            first = when((spared, when(*each)))
+            if alone:
+                self.long[name].append((all_of([any_of(h for h, _ in each), spared]), first))
+            else:
+                self.wide.append(first)
 
         def by_keyword(comp: Compiler, p: Possible) -> Expression:
             if p.keyword == "oneOf" and p.params["passingSchemas"]:
