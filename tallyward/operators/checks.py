@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.sqltext import quote
 from tallyward.operators.assertions import DIRECTIONS, Assertion, parse_assertion, violation
+from tallyward.operators.windows import spread_windows
 
 ROW = "__row__"
 _HIT = "__hit__"
@@ -24,7 +25,9 @@ def with_hit(data: DataFrame, condition: str) -> DataFrame:
 
 
 def matching(data: DataFrame, condition: str) -> DataFrame:
-    return with_hit(data, condition).filter(_HIT).drop(_HIT)
+    """Rows that meet a condition; windows in it that would gather a key or the table are computed apart."""
+    data, condition, more = spread_windows(data, condition, ROW)
+    return with_hit(data, condition).filter(_HIT).drop(_HIT, *more)
 
 
 def repeated(data: DataFrame, column: str) -> DataFrame:

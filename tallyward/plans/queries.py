@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -129,9 +130,8 @@ def rule_longitudinal_lag(spark, d):
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, quantile_cont(l_extendedprice, 0.995) OVER (PARTITION BY l_returnflag) AS q FROM lineitem) WHERE l_extendedprice > q")
 def rule_percentile_outlier(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
-    limits = rows.groupBy(F.col("l_returnflag").alias("flag")).agg(F.expr("percentile(l_extendedprice, 0.995)").alias("q"))
-    hits = rows.join(limits, F.col("l_returnflag").eqNullSafe(F.col("flag"))).filter("l_extendedprice > q")
-    return hits.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    condition = to_spark("l_extendedprice > quantile_cont(l_extendedprice, 0.995) OVER (PARTITION BY l_returnflag)")
+    return checks.matching(rows, condition).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @query("SELECT event_id, event_type FROM (SELECT event_id, event_type, user_id, quantile_cont(value, 0.9) OVER (PARTITION BY event_type) AS q, value FROM events) WHERE value > q")
@@ -140,10 +140,36 @@ def rule_percentile_window(spark, d):
     return checks.matching(table(spark, d, "events").select("event_id", "event_type", "value"), condition).select("event_id", "event_type")
 
 
-@query("SELECT event_id FROM (SELECT event_id, (SELECT count(DISTINCT e.event_type) FROM events e WHERE e.user_id = x.user_id) AS n FROM events x) WHERE n < 7")
+@query("SELECT event_id FROM events JOIN (SELECT user_id AS u, count(DISTINCT hour(ts)) AS n FROM events GROUP BY ALL) ON user_id = u WHERE n <= (SELECT quantile_disc(n, 0.5) FROM (SELECT count(DISTINCT hour(ts)) AS n FROM events GROUP BY user_id))")
 def rule_distinct_window(spark, d):
-    condition = to_spark("COUNT(DISTINCT event_type) OVER (PARTITION BY user_id) < 7")
-    return checks.matching(table(spark, d, "events").select("event_id", "event_type", "user_id"), condition).select("event_id")
+    """Events of users in the lower half by hours of the day that they are active in."""
+    events = table(spark, d, "events").select("event_id", "user_id", F.hour("ts").alias("h"))
+    middle = events.groupBy("user_id").agg(F.count_distinct("h").alias("n")).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)")).first()[0]
+    return checks.matching(events, to_spark(f"COUNT(DISTINCT h) OVER (PARTITION BY user_id) <= {int(middle)}")).select("event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice > (SELECT quantile_cont(l_extendedprice, 0.99) FROM lineitem)")
+def rule_percentile_one_key(spark, d):
+    """The percentile of a key that all rows have: ranges of values are counted, no task sees them all."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.lit("all").alias("k"))
+    return checks.matching(rows, to_spark("l_extendedprice > quantile_cont(l_extendedprice, 0.99) OVER (PARTITION BY k)")).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT event_id FROM (SELECT event_id, value, lag(value) OVER (ORDER BY ts NULLS FIRST, event_id) AS b FROM events) WHERE value < b")
+def assert_monotonic_order_by(spark, d):
+    """An order of the whole table by another column."""
+    events = numbered(table(spark, d, "events").select("event_id", "ts", "value"), "event_id")
+    return checks.assertion_rows(events, "monotonic(increasing, order_by=ts)", "value").select("event_id")
+
+
+@query("""SELECT event_id FROM (SELECT event_id, lead(event_id, 2) OVER w AS b, count(user_id) OVER (w ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER w AS r,
+          max(event_id) OVER (w ROWS UNBOUNDED PRECEDING) AS m FROM events WINDOW w AS (ORDER BY value NULLS FIRST, event_id)) WHERE event_id > b AND c % 3 = 0 AND r % 2 = 0 AND m > event_id""")
+def rule_windows_of_all_rows(spark, d):
+    """LEAD, row numbers and running values over the whole table."""
+    events = numbered(table(spark, d, "events").select("event_id", "user_id", "value"), "event_id")
+    running = "OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    condition = f"event_id > LEAD(event_id, 2) OVER (ORDER BY value) AND COUNT(user_id) {running} % 3 = 0 AND ROW_NUMBER() OVER (ORDER BY value) % 2 = 0 AND MAX(event_id) {running} > event_id"
+    return checks.matching(events, to_spark(condition)).select("event_id")
 
 
 def _dataset_rule(data: DataFrame, sql: str) -> DataFrame:
@@ -298,6 +324,40 @@ def schema_required_flags(spark, d):
     return _order_findings(spark, d).filter("rule_id like 'schema:prop:%:required'").select("rule_id", "row", "message")
 
 
+# A schema of 265 columns over customers: whole numbers, codes, numbers and texts, and conditions between columns.
+
+_WIDE = 265
+
+
+def _wide_column(i):
+    """(how column i is made of a customer, in both dialects, its schema, what breaks it in SQL)."""
+    number = f"(c_custkey * {i + 3} + {i}) % {97 + i}"
+    if i % 4 == 0:
+        return number, {"type": "integer", "maximum": 93 + i}, f"v > {93 + i}"
+    if i % 4 == 1:
+        return number, {"anyOf": [{"type": "integer", "minimum": 4}, {"const": 1, "title": "Refused"}]}, "v < 4 AND v <> 1"
+    if i % 4 == 2:
+        return f"CASE WHEN {number} < 95 THEN 'x' || CAST({number} AS STRING) ELSE 'none' END", {"type": "string", "pattern": "^x[0-9]+$"}, "v = 'none'"
+    return f"CASE WHEN {number} < 94 THEN 'a' ELSE 'z{i}' END", {"enum": ["a", "b", f"c{i}"]}, "v <> 'a'"
+
+
+_WIDE_SQL = " UNION ALL ".join(
+    f"SELECT c_custkey AS row, 'w{i}' AS \"column\" FROM (SELECT c_custkey, {_wide_column(i)[0]} AS v FROM customer) WHERE {_wide_column(i)[2]}" for i in range(_WIDE)
+) + " UNION ALL SELECT c_custkey, 'w8' FROM customer WHERE (c_custkey * 7 + 4) % 101 = 2 AND (c_custkey * 11 + 8) % 105 > 50 AND (c_custkey * 11 + 8) % 105 <= 101"
+
+
+@query(f"SELECT row, \"column\", count(*) AS n FROM ({_WIDE_SQL}) GROUP BY ALL")
+def schema_wide_flags(spark, d):
+    props = {f"w{i}": _wide_column(i)[1] for i in range(_WIDE)}
+    rule = {"if": {"properties": {"w4": {"const": 2}}, "required": ["w4"]}, "then": {"properties": {"w8": {"not": {"minimum": 51, "maximum": 101}}}}}
+    schema = {"type": "array", "items": {"type": "object", "properties": props, "allOf": [rule]}}
+    schemas = build_schema_set([("wide.json", json.dumps(schema), None)])
+    found = digest(schemas)
+    raw = numbered(table(spark, d, "customer"), "c_custkey").selectExpr(checks.ROW, *[f"{_wide_column(i)[0]} AS w{i}" for i in range(_WIDE)])
+    plan = cast_plan(found.by_name, raw)
+    return row_findings(raw, cast_failures(raw, plan), schemas, found, plan).groupBy("row", "column").agg(F.count("*").alias("n"))
+
+
 # The dataset as a whole
 
 
