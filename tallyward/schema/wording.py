@@ -13,7 +13,8 @@ import re
 from collections.abc import Callable
 from typing import Any
 
-from tallyward.schema.digest import Column, bound_text, expectation, value_words
+from tallyward.schema.digest import Column
+from tallyward.schema.meaning import bound_text, code_words, expectation, value_words
 
 
 class Slot(enum.Enum):
@@ -86,7 +87,7 @@ def wanted(c: Column | None) -> str:
     words = pattern_words(spec.pattern) if spec.kind == "string-pattern" and spec.title is not None else None
     if words is None:
         return expectation(spec)
-    codes = "; ".join(value_words(x.value) + (f" {x.label}" if x.label is not None else "") for x in spec.sentinels)
+    codes = "; ".join(map(code_words, spec.sentinels))
     return f"{'an' if spec.title[:1].lower() in 'aeiou' else 'a'} {spec.title} ({words})" + (f", or one of: {codes}" if codes else "")
 
 
