@@ -34,7 +34,7 @@ from tallyward.llm.common import require
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
-LEFT_OUT = frozenset("aside audio button canvas datalist dialog footer form head header menu nav object option select svg video".split())
+LEFT_OUT = frozenset("aside audio button canvas datalist dialog footer head header menu nav object option select svg video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -100,8 +100,9 @@ def mark(name: str, attributes: tuple[tuple[str, str], ...]) -> str:
     """
     if name in LEFT_OUT:
         return "out"
+    kinds = {"strong"} if name == "form" else set()  # pages made by servers stand in one form
     if name in ("html", "body", "main") or not attributes:
-        return ""
+        return "strong" if kinds else ""
     own = dict(attributes)
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" and name != "article":
         return "out"
@@ -109,7 +110,6 @@ def mark(name: str, attributes: tuple[tuple[str, str], ...]) -> str:
         return "out"
     if own.get("role", "").strip().lower() in ROLES_LEFT_OUT:
         return "out"
-    kinds = set()
     for key in ("class", "id"):
         for one in own.get(key, "").split():
             parts = {p.lower() for p in _PARTS.findall(one)} | {one.lower()}
@@ -383,6 +383,8 @@ def fit_weights(pages: Iterable[list[tuple[bool, str]]]) -> dict[str, float]:
 
 #: Score of tags that labelled pages lack, and of words.
 _OTHER_TAG, _OTHER_WORD = -0.05, 1.0
+#: The most that a stretch without words of the text, such as a list of links, can cost: what 15 words of a story outweigh.
+_GAP = 60.0
 #: Share of its score that a word keeps in a weakly marked element.
 _WEAK_SHARE = 0.5
 
@@ -399,6 +401,24 @@ def score(kind: str, n: int, weights: dict[str, float]) -> float:
     return n * weights.get(plain, _OTHER_WORD) * (_WEAK_SHARE if plain != kind else 1.0)
 
 
+def bounded_gaps(scores: Iterable[float]) -> tuple[list[float], list[bool]]:
+    """The scores, with each stretch of none above 0 scaled to a sum of at most _GAP below, so that a story goes on behind it; and which were scaled."""
+    out: list[float] = []
+    gap: list[bool] = []
+    begin, total = 0, 0.0
+    for one in [*scores, 1.0]:
+        if one > 0:
+            if total < -_GAP:
+                out[begin:] = [x * _GAP / -total for x in out[begin:]]
+                gap[begin:] = [True] * (len(out) - begin)
+            begin, total = len(out) + 1, 0.0
+        else:
+            total += one
+        out.append(one)
+        gap.append(False)
+    return out[:-1], gap[:-1]
+
+
 def best_run(scores: Iterable[float]) -> tuple[int, int]:
     """First and end of the run with the greatest sum; (0, 0) where no sum is above 0. Of ties the one that ends first, and of those the shortest."""
     best = total = 0.0
@@ -418,8 +438,12 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
         return ""
     weights = default_weights() if weights is None else weights
     steps, blocks = read_page(page)
-    start, stop = best_run(score(kind, n, weights) for kind, n in steps)
-    return "\n".join(text for text, a, b in blocks if start == stop or a < stop and b > start)
+    scores = [score(kind, n, weights) for kind, n in steps]
+    bounded, gap = bounded_gaps(scores)
+    whole, (start, stop) = best_run(scores), best_run(bounded)
+    # What lies in a gap is read only if the run goes across it at its full cost.
+    inside = lambda a, b: a < whole[1] and b > whole[0] or a < stop and b > start and not all(gap[a:b])
+    return "\n".join(text for text, a, b in blocks if start == stop or inside(a, b))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: dict[str, float] | None = None) -> DataFrame:
