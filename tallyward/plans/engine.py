@@ -1,13 +1,14 @@
 """Running rules: corrections in file order, then validations, with exact counts and capped findings.
 
-The data is an immutable plan; a correction gives a new one. Counts of all
-conditions without windows come from one pass; only rules with violations are
-fetched, as the first rows by row id. What comes to the driver is bounded by the
+The data is an immutable plan; a correction gives a new one. All conditions
+without windows are counted in one pass, and the first violations of those that
+have any are fetched in another. What comes to the driver is bounded by the
 caps; counts are exact beyond them.
 """
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
@@ -22,11 +23,13 @@ from tallyward.functions.sandbox import CHUNK_MS, CHUNK_ROWS, MISSING, RULE_MS,
 from tallyward.functions.sqltext import put_value, quote, to_spark, tokenize
 from tallyward.operators.assertions import parse_assertion, violation
 from tallyward.operators.checks import ROW, Replacement, assertion_rows, cell_changes, change_counts, change_log, correct, distinct_count, matching
+from tallyward.plans.findings import Check, capped, extents
 from tallyward.plans.flags import Flag, plain, value_text
 from tallyward.plans.guard import check_query
 from tallyward.plans.lint import error_line
 from tallyward.plans.rules import Rule, RuleFile
 
+_LOG = logging.getLogger(__name__)
 ROW_CAP, DATASET_CAP, FLAG_CAP = 10_000, 200, 200_000
 ERROR_SHARE, ERROR_FLAGS = 0.01, 50
 
@@ -139,29 +142,33 @@ def replacements(rule: Rule) -> list[Replacement]:
     return [Replacement(t, to_spark(put_value(rule.condition, t)), to_spark(put_value(rule.update_expression, t))) for t in rule.targets]
 
 
-def _counted(data: DataFrame, rules: Sequence[Rule]) -> dict[str, int]:
-    """Violation counts of window-free rules, all in one pass; rules that cannot be counted so are left out."""
-    columns = []
+def _counted(data: DataFrame, rules: Sequence[Rule], cap: int) -> tuple[list[Check], dict[str, tuple[int, int]]]:
+    """Window-free rules as checks, and of each how many rows violate it and how far the first cap of them reach; all from one pass.
+
+    A rule that cannot be counted so is left out, and counted for itself later.
+    """
+    own: list[Check] = []
     for r in rules:
         if r.rule_type != "validate" or r.rule_scope == "dataset" or not r.enabled or any(t not in data.columns for t in r.targets):
             continue
         try:
             if r.rule_scope == "column" and parse_assertion(r.condition).name in ("unique", "monotonic", "count_distinct_in_range"):
                 continue
-            own = conditions(r)
-            for sql, _ in own:
+            found = conditions(r)
+            for sql, _ in found:
                 check_query(data.sparkSession, f"SELECT ({sql}) FROM data")
-            if not any(_has_window(sql) or " (SELECT" in sql.upper() for sql, _ in own):
-                columns += [(f"{r.rule_id}|{i}", sql) for i, (sql, _) in enumerate(own)]
-        except Exception:
-            continue
-    if not columns:
-        return {}
+            if not any(_has_window(sql) or " (SELECT" in sql.upper() for sql, _ in found):
+                own += [Check(f"{r.rule_id}|{i}", f"CAST(({sql}) AS BOOLEAN)", tuple(targets)) for i, (sql, targets) in enumerate(found)]
+        except Exception as e:
+            _LOG.info("rule %s is counted for itself: %s", r.rule_id, error_line(e))
+    if not own or ROW not in data.columns:
+        return [], {}
     try:
-        got = data.select(*[F.expr(f"({sql})").cast("boolean").alias(f"v{i}") for i, (_, sql) in enumerate(columns)]).agg(*[F.count_if(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
-    except Exception:
-        return {}
-    return {key: got[i] for i, (key, _) in enumerate(columns)}
+        got = {r["check"]: (r["n"], r["last"]) for r in extents(data, own, cap).collect()}  # a row for each check
+    except Exception as e:
+        _LOG.info("rules are counted one by one: %s", error_line(e))
+        return [], {}
+    return own, {c.key: got.get(i, (0, -1)) for i, c in enumerate(own)}
 
 
 class _Run:
@@ -199,7 +206,8 @@ class _Run:
         correcting = name == "correct"
         own = [r for r in rules if r.rule_type == name]
         total, index = sum(r.enabled for r in own), 0
-        counts = {} if correcting else _counted(self.data, own)
+        self.checks, self.extents = ([], {}) if correcting else _counted(self.data, own, self.options.row_cap)
+        self.fetched: dict[str, list] | None = None
         done = 0
         for rule in rules:
             if self.options.cancelled:
@@ -221,7 +229,7 @@ class _Run:
             if correcting:
                 work = self.correct_rows if rule.update_language in ("js", "py") else self.correct_sql
             else:
-                work = lambda r: self.validate(r, counts)
+                work = self.validate
             if not self._guarded(rule, work, correcting):
                 return
             done += correcting
@@ -230,7 +238,32 @@ class _Run:
 
     # Validations
 
-    def validate(self, rule: Rule, counts: dict[str, int]) -> tuple[int, bool]:
+    def _first_rows(self, key: str, rows: DataFrame, targets: Sequence[str]) -> list[tuple]:
+        """(row, values of the targets) of the first violations. Those of all rules counted together are fetched together, as far as the cap of the run goes."""
+        if self.fetched is None:
+            self.fetched, room, wanted = {}, self.options.flag_cap, []
+            for c in self.checks:
+                n = min(self.extents[c.key][0], self.options.row_cap)
+                if n and n * len(c.targets) <= room:
+                    room -= n * len(c.targets)
+                    wanted.append(c)
+            if wanted:
+                spark = self.data.sparkSession
+                reach = spark.createDataFrame([(i, self.extents[c.key][1]) for i, c in enumerate(wanted)], "check int, last long")
+                try:
+                    got = capped(self.data, wanted, self.options.row_cap, reach).collect()
+                    self.fetched = {c.key: [] for c in wanted}
+                except Exception as e:
+                    _LOG.info("violations are fetched rule by rule: %s", error_line(e))
+                    got = []
+                for r in got:
+                    c = wanted[r["check"]]
+                    self.fetched[c.key].append((r["row"], *(r["cells"][t] for t in c.targets)))
+        if key in self.fetched:
+            return sorted(self.fetched[key], key=lambda r: r[0])
+        return rows.select(ROW, *[quote(t) for t in targets]).orderBy(ROW).limit(self.options.row_cap).collect()
+
+    def validate(self, rule: Rule) -> tuple[int, bool]:
         if rule.rule_scope == "dataset":
             return self.validate_dataset(rule)
         if rule.rule_scope == "column" and parse_assertion(rule.condition).name == "count_distinct_in_range":
@@ -239,11 +272,11 @@ class _Run:
         cap = self.options.row_cap
         for i, (rows, targets) in enumerate(violations(self.data, rule)):
             key = f"{rule.rule_id}|{i}"
-            n = counts[key] if key in counts else rows.count()
+            n = self.extents[key][0] if key in self.extents else rows.count()
             total += n
             if not n:
                 continue
-            for r in rows.select(ROW, *[quote(t) for t in targets]).orderBy(ROW).limit(cap).collect():
+            for r in self._first_rows(key, rows, targets):
                 for j, t in enumerate(targets):
                     self.sink.emit(Flag("rules", rule.rule_id, "cell", rule.severity, rule.message, r[0], t, r[j + 1]))
             if n > cap:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from tallyward.functions.sqltext import to_spark
 from tallyward.operators import checks
 from tallyward.operators.checks import Replacement
-from tallyward.plans.engine import dataset_query
-from tallyward.plans.rules import Rule
+from tallyward.plans import findings
+from tallyward.plans.engine import Options, dataset_query, run_rules
+from tallyward.plans.flags import FlagStore
+from tallyward.plans.rules import Rule, RuleFile
 from tallyward.report.model import review_cells
 from tallyward.schema.digest import digest
 from tallyward.schema.loader import build_schema_set
@@ -402,7 +404,35 @@ def repeat_offenders(spark, d):
 
 @query(f"SELECT rule_id, severity, row FROM {_FINDINGS_SQL} ORDER BY rank, row LIMIT 200")
 def flag_severity_cap(spark, d):
-    return _findings(spark, d).orderBy("rank", "row").limit(200).select("rule_id", "severity", "row")
+    """Each finding came twice; the gravest 200 of the merged ones stay, the earliest first."""
+    found = _findings(spark, d).select(F.lit("rules").alias("source"), "rule_id", F.lit("cell").alias("scope"), "row", "column", F.col("severity").alias("message"), "severity", F.col("row").alias("seq"))
+    twice = found.unionByName(found.withColumn("seq", F.col("seq") + 10_000_000))
+    return findings.gravest(findings.merged(twice), 200).where("times = 2").select("rule_id", "severity", "row")
+
+
+_ORDER_CHECKS = (("dear", "o_totalprice > 300000"), ("done", "o_orderstatus = 'F'"), ("seventh", "o_custkey % 7 = 0"), ("none", "o_orderkey < 0"))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS rule, o_orderkey AS row, o_totalprice AS price FROM orders WHERE {c} ORDER BY o_orderkey LIMIT 1000)" for k, c in _ORDER_CHECKS))
+def findings_under_caps(spark, d):
+    """The first thousand violations of each of several rules, from one pass that counts and one that fetches."""
+    data = numbered(table(spark, d, "orders"), "o_orderkey")
+    own = [findings.Check(k, c, ("o_totalprice",)) for k, c in _ORDER_CHECKS]
+    rows = findings.capped(data, own, 1000, findings.extents(data, own, 1000))
+    names = F.array(*[F.lit(c.key) for c in own])
+    return rows.select(names[F.col("check")].alias("rule"), "row", F.col("cells.o_totalprice").alias("price"))
+
+
+@query(" UNION ALL ".join(
+    f"(SELECT '{k}' AS rule_id, 'cell' AS scope, o_orderkey AS row, 'o_totalprice' AS \"column\", 'Look.' AS message FROM orders WHERE {c} ORDER BY o_orderkey LIMIT 300) "
+    f"UNION ALL SELECT '{k}', 'column', NULL, 'o_totalprice', '…and ' || format('{{:,}}', count(*) - 300) || ' more rows flagged by this rule' FROM orders WHERE {c} HAVING count(*) > 300" for k, c in _ORDER_CHECKS))
+def run_rules_findings(spark, d):
+    """A whole run of rules, with its caps and summaries, as the findings of its store."""
+    data = numbered(table(spark, d, "orders"), "o_orderkey")
+    rules = tuple(Rule(k, "validate", "row", ("o_totalprice",), c, severity="warning", comment="Look.") for k, c in _ORDER_CHECKS)
+    store = FlagStore()
+    store.add(run_rules(data, [RuleFile("orders.rules.csv", "orders", list(rules))], Options(row_cap=300)).flags)
+    return store.to_dataframe(spark).select("rule_id", "scope", "row", "column", "message")
 
 
 @query(f"""SELECT row, "column", string_agg(rule_id || ': ' || severity, '; ' ORDER BY rank) AS review FROM {_FINDINGS_SQL} GROUP BY row, "column" """)
