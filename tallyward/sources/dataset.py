@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from tallyward.functions.sqltext import quote
 from tallyward.operators.checks import ROW
 from tallyward.sources import xlsx
+from tallyward.sources.records import in_order, records
 
 EXTENSIONS = {"csv": "csv", "tsv": "tsv", "tab": "tsv", "json": "json", "xlsx": "xlsx", "parquet": "parquet", "pq": "parquet"}
 WARN_BYTES, REFUSE_BYTES = 100 << 20, 500 << 20
@@ -162,11 +163,20 @@ def text_frame(spark: SparkSession, names: Sequence[str], rows: list[list[str |
     return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 
+def _in_one_piece(spark: SparkSession, path: str) -> bool:
+    """Whether a file cannot be cut into lines: a folder, whose files have headers of their own, or one whose lines end with a carriage return alone."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return True
+    return bool(re.search(rb"\r(?!\n|$)", re.sub(rb'"[^"]*+"?', b"", _head(spark, path, 1 << 16))))
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFrame, list[str]]:
     """All columns as text, and what was mended.
 
     Rows with other than the header's number of cells are padded or cut, and counted, on the executors,
-    whatever the size and place of the file. Rows without text are passed over; empty cells are null.
+    whatever the size and place of the file; a file is read by many tasks, line breaks in quotes or not.
+    Rows without text are passed over; empty cells are null.
     """
     header, blank_before = _header(spark, path, delimiter)
     if not header:
@@ -174,18 +184,28 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str) -> tuple[Data
     names = clean_names(header)
     raw = "__raw"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, raw)])
-    read = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
-    read = read.option("multiLine", True).option("nullValue", "").option("emptyValue", "").option("maxColumns", max(20480, 4 * len(names)))
-    df = read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw).csv(path)
-    df = df.select(*[F.nullif(F.col(quote(n)), F.lit("")).alias(n) for n in names], raw)
-    # what lies beyond the header's cells counts as text too
-    said = F.concat_ws("", *[F.col(quote(n)) for n in names], F.translate(raw, delimiter + '"', ""))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "", "emptyValue": "", "maxColumns": str(max(20480, 4 * len(names))), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": raw}
+    whole, placed = _in_one_piece(spark, path), False
+    read_as = names
+    if whole:
+        df = spark.read.schema(schema).options(header="true", enforceSchema="true", **options).csv(path)
+    else:
+        found, placed = records(spark, path, delimiter)
+        text = F.regexp_replace("text", "\r$", "")
+        # a generator, so that no filter is put below, where each column that it asks for would be parsed anew
+        read_as = [f"__c{i}" for i in range(len(names))]
+        cells = F.inline(F.array(F.from_csv(text, ", ".join(f"{n} STRING" for n in (*read_as, raw)), options)))
+        df = found.where("trim(text) <> ''").select(cells, *(["place"] if placed else []))
+    kept = ["place"] if placed else []
+    # what lies beyond the header's cells counts as text too; asked of cells as read, as the planner would derive 2^columns facts otherwise
+    said = F.concat_ws("", *[F.col(quote(c)) for c in read_as], F.translate(raw, delimiter + '"', ""))
     df = df.where(said.rlike(r"(?U)\S"))
+    df = df.select(*[F.nullif(F.col(quote(c)), F.lit("")).alias(n) for c, n in zip(read_as, names)], raw, *kept)
     cells = F.length(F.regexp_replace(F.regexp_replace(raw, '"[^"]*+"', ""), f"[^{delimiter}]++", "")) + 1
     short, long = (F.count_if(F.col(raw).isNotNull() & c) for c in (cells < len(names), cells > len(names)))
     mended = df.agg(short.alias("short"), long.alias("long")).first()
-    df = with_row_ids(df.drop(raw))
-    if blank_before:  # the reader took a row of blank cells for the header
+    df = in_order(df.drop(raw), ROW) if placed else with_row_ids(df.drop(raw))
+    if blank_before or not whole:  # the header, or a row of blank cells that the reader took for it, is a row yet
         df = df.where(F.col(ROW) > 0).withColumn(ROW, F.col(ROW) - 1)
     warnings = []
     if n := mended["short"]:
