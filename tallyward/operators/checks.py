@@ -151,10 +151,10 @@ def double_sql(text: str) -> str:
     return f"CASE WHEN {text} RLIKE '{form}' THEN try_cast(trim({text}) AS DOUBLE) END"
 
 
-def integer_ladder(text: Column) -> Column:
-    """The same for a column that has a name."""
-    return F.expr(integer_sql(quote(str(text._jc))))
+def integer_ladder(name: str) -> Column:
+    """The same for a column by its name."""
+    return F.expr(integer_sql(quote(name)))
 
 
-def guarded_double(text: Column) -> Column:
-    return F.expr(double_sql(quote(str(text._jc))))
+def guarded_double(name: str) -> Column:
+    return F.expr(double_sql(quote(name)))

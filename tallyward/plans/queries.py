@@ -12,7 +12,7 @@ from tallyward.functions.sqltext import to_spark
 from tallyward.operators import checks
 from tallyward.operators.checks import Replacement
 from tallyward.plans import findings
-from tallyward.plans.engine import Options, dataset_query, run_rules
+from tallyward.plans.engine import Options, dataset_query, replacements, run_rules
 from tallyward.plans.flags import FlagStore
 from tallyward.plans.rules import Rule, RuleFile
 from tallyward.report.model import review_cells
@@ -262,7 +262,7 @@ def _texts(spark, d):
 
 @query(f"SELECT t, {_LADDER} AS whole, count(*) AS n FROM (SELECT {_TEXTS} AS t FROM lineitem) GROUP BY ALL")
 def cast_integer_ladder(spark, d):
-    return _texts(spark, d).groupBy("t").agg(F.count("*").alias("n")).select("t", checks.integer_ladder(F.col("t")).alias("whole"), "n")
+    return _texts(spark, d).groupBy("t").agg(F.count("*").alias("n")).select("t", checks.integer_ladder("t").alias("whole"), "n")
 
 
 def _one_column(text: str, name: str = "t"):
@@ -389,6 +389,25 @@ def flag_rollup_by_rule(spark, d):
     return _findings(spark, d).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_distinct("row").alias("rows"))
 
 
+@query("SELECT c_custkey AS row, c_acctbal AS before, round(c_acctbal * 2, 2) AS after FROM customer WHERE c_acctbal < 0 AND round(c_acctbal * 2, 2) <> c_acctbal")
+def correct_value_token(spark, d):
+    """A correction whose text names its target by the value token, as the run of rules expands it."""
+    data = numbered(table(spark, d, "customer"), "c_custkey")
+    rule = Rule("V", "correct", "row", ("c_acctbal",), "__value__ < 0", update_expression="ROUND(__value__ * 2, 2)")
+    [replacement] = replacements(rule)
+    return checks.cell_changes(data, replacement)
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 WHEN c_acctbal < 0 THEN 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN CASE WHEN c_mktsegment = 'BUILDING' THEN 0 WHEN c_acctbal < 0 THEN 1 ELSE c_acctbal END IN (0, 1) THEN 'set' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def run_rules_corrections(spark, d):
+    """Three corrections in file order, each on what the one before left, through a whole run."""
+    data = numbered(table(spark, d, "customer"), "c_custkey")
+    steps = (("c_acctbal", "c_mktsegment = 'BUILDING'", "0"), ("c_acctbal", "c_acctbal < 0", "1"), ("c_mktsegment", "c_acctbal IN (0, 1)", "'set'"))
+    rules = [Rule(f"C{i}", "correct", "row", (t,), c, update_expression=e) for i, (t, c, e) in enumerate(steps)]
+    run = run_rules(data, [RuleFile("c.rules.csv", "c", rules)])
+    return run.data.select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
+
+
 @query(f"SELECT count(DISTINCT row) AS n FROM {_FINDINGS_SQL}")
 def rows_affected(spark, d):
     return _findings(spark, d).agg(F.count_distinct("row").alias("n"))
