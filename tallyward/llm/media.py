@@ -6,8 +6,8 @@ filterbanks, and segments found by hysteresis on the energy of frames. Log-mel
 frames leave as tensors of one fixed shape with the time span of each.
 
 Every value is a function of the stored bytes alone: blocks lie at fixed
-places, whatever else is in the batch. Memory is bounded by a block plus one
-number for each frame.
+places, whatever else is in the batch. Memory is that of the
+tensors of one text at a time.
 
 Defined cases: a null text counts as empty; an empty text has one unit of
 padding; repeated rows give equal rows; an empty table gives an empty result;
