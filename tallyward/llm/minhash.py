@@ -17,8 +17,9 @@ centres to a bucket do the same, until no bucket has an unsettled pair.
 Defined cases: null and empty texts and those without words have the empty set,
 are linked with nothing and form a component each; a text with fewer words than a
 shingle has its whole word sequence as one shingle; repeated rows and equal texts
-are one component; rows that share an id are one document; rows with a null id are left as components of their own
-(component_id null); an empty table gives an empty result; columns other than
+are one component; in `near_duplicates` rows that share an id are one document and rows with a null id are components of their own
+(component_id null), in `drop_near_duplicates` each row is a document, whatever its id; very long texts are read whole, a set
+being at most as large as its text; a tie of ids goes to the row that is read first; an empty table gives an empty result; columns other than
 those named are never read.
 """
 
@@ -313,6 +314,17 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with all its columns: the one with the least id."""
-    found = near_duplicates(docs, id_col, text_col, size, percent).filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("dropped_id"), "left_anti")
+    """One row of each component, with all its columns: that of the least id, null after all others, and of rows that share it the first.
+
+    Rows are told apart by numbers of their own, so rows with one id, or without, are linked by their texts as any
+    others are. The numbers are written with the rows, since a second evaluation may deal them otherwise.
+    """
+    require(docs, id_col, text_col)
+    number = "__number"
+    while number.lower() in map(str.lower, docs.columns):
+        number += "_"
+    rows = Tables(docs.sparkSession, "near").put(docs.withColumn(number, F.monotonically_increasing_id()))
+    found = near_duplicates(rows, number, text_col, size, percent).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = rows.select(F.col(number).alias("__row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(number).alias("row")).alias("place"))
+    first = found.join(ids, "__row").groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias("__first"))
+    return rows.join(first, F.col(number) == F.col("__first"), "left_semi").drop(number)
