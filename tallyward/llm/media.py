@@ -6,11 +6,12 @@ filterbanks, and segments found by hysteresis on the energy of frames. Log-mel
 frames leave as tensors of one fixed shape with the time span of each.
 
 Every value is a function of the stored bytes alone: blocks lie at fixed
-places, whatever else is in the batch. Memory is that of the
-tensors of one text at a time.
+places, whatever else is in the batch. Memory is that of the stored forms and tensors
+of ROWS texts; tensors take some two thirds of their text's bytes, so a very long text, which is
+read whole, needs a small multiple of its own size.
 
 Defined cases: a null text counts as empty; an empty text has one unit of
-padding; repeated rows give equal rows; an empty table gives an empty result;
+padding; repeated rows and equal texts give equal values, so there are no ties to settle; a null id stays null; an empty table gives an empty result;
 columns other than the two named are never read.
 """
 
@@ -35,6 +36,8 @@ HZ = STORED_HZ * UP // DOWN
 FRAME, HOP, FFT, MELS = 400, 160, 512, 40
 #: Frames of a tensor, and frames of a block of work.
 TENSOR_FRAMES, BLOCK = 64, 1024
+#: Texts whose tensors leave in one Arrow batch.
+ROWS = 16
 #: A segment starts at START and ends under STOP decibels above the quietest tenth of frames.
 START, STOP = 6.0, 3.0
 _TAPS = 24
@@ -140,72 +143,79 @@ def _milliseconds(frame: int) -> int:
     return frame * HOP * 1000 // HZ
 
 
-def describe(payload: bytes) -> str:
-    """A digest of all features: frames, segments, time in segments, hash of the tensors to 1/64 and of the spans."""
-    tensors, frames, found = features(payload)
-    digest = hashlib.sha256()
-    for tensor in tensors:
-        digest.update(np.round(tensor * 64).astype("<i2").tobytes())
-    digest.update(",".join(f"{_milliseconds(a)}-{_milliseconds(b)}" for a, b in found).encode())
-    loud = sum(_milliseconds(b) - _milliseconds(a) for a, b in found)
-    return f"frames={frames};tensors={len(tensors)};segments={len(found)};loud_ms={loud};sha256={digest.hexdigest()}"
-
-
 def _payload(text: str | None) -> tuple[int, bytes]:
     data = (text or "").encode("utf-8", "surrogatepass")
     return len(data), pad(data)
 
 
-def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: sizes and checksums of its payload and stored form, and a digest of its features."""
+_SPAN = [("start_ms", pa.int64()), ("end_ms", pa.int64())]
+_KINDS = {
+    "n_bytes": pa.int64(),
+    "media": pa.binary(),
+    "n_frames": pa.int64(),
+    "segments": pa.list_(pa.struct(_SPAN)),
+    "tensors": pa.list_(pa.struct([*_SPAN, ("n_frames", pa.int64()), ("values", pa.list_(pa.float32()))])),
+}
+_MEDIA = "n_bytes long, media binary, n_frames long, segments array<struct<start_ms:long,end_ms:long>>, tensors array<struct<start_ms:long,end_ms:long,n_frames:long,values:array<float>>>"
+
+
+def _stored(text: str | None) -> tuple:
+    n, payload = _payload(text)
+    media = to_wav(payload)
+    tensors, frames, found = features(from_wav(media))
+    held = []
+    for i, tensor in enumerate(tensors):
+        first = i * TENSOR_FRAMES
+        inside = min(TENSOR_FRAMES, frames - first)
+        held.append({"start_ms": _milliseconds(first), "end_ms": _milliseconds(first + inside), "n_frames": inside, "values": tensor.ravel()})
+    return n, media, frames, [{"start_ms": _milliseconds(a), "end_ms": _milliseconds(b)} for a, b in found], held
+
+
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: bytes of its text, the stored audio, its frames, segments and tensors with their spans.
+
+    A tensor's values are flat, TENSOR_FRAMES * MELS of them; `as_tensors` makes Arrow's fixed-shape tensors of them.
+    """
     require(docs, id_col, text_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
-
-    def one(text: str | None) -> tuple:
-        n, data = _payload(text)
-        stored = to_wav(data)
-        back = from_wav(stored)
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(back)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(t.as_py()) for t in batch.column(1)]
-            columns = list(zip(*rows)) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds.values()))], names=["doc_id", *kinds])
+            for i in range(0, len(batch), ROWS):
+                part = batch.slice(i, ROWS)
+                columns = list(zip(*(_stored(t.as_py()) for t in part.column(1))))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, _KINDS.values()))], names=["doc_id", *_KINDS])
 
-    types = ", ".join(f"{k} {'long' if v == pa.int64() else 'string'}" for k, v in kinds.items())
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {types}")
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {_MEDIA}")
 
 
-_MEDIA = "media binary, n_frames long, segments array<struct<start_ms:long,end_ms:long>>, tensors array<struct<start_ms:long,end_ms:long,n_frames:long,values:array<float>>>"
+def _described(frames: int, spans: list[tuple[int, int]], tensors: pa.Array) -> str:
+    """All features in a line: frames, tensors, segments, time in segments, hash of the tensors to 1/64 and of the spans of segments."""
+    digest = hashlib.sha256()
+    for values in tensors.field("values"):
+        digest.update(np.round(values.values.to_numpy() * 64).astype("<i2").tobytes())
+    digest.update(",".join(f"{a}-{b}" for a, b in spans).encode())
+    return f"frames={frames};tensors={len(tensors)};segments={len(spans)};loud_ms={sum(b - a for a, b in spans)};sha256={digest.hexdigest()}"
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with the stored audio, its segments and its tensors, flat, with their spans."""
-    require(docs, id_col, text_col)
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    span = [("start_ms", pa.int64()), ("end_ms", pa.int64())]
-    kinds = [pa.binary(), pa.int64(), pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("n_frames", pa.int64()), ("values", pa.list_(pa.float32()))]))]
-
-    def one(text: str | None) -> tuple:
-        stored = to_wav(_payload(text)[1])
-        tensors, frames, found = features(from_wav(stored))
-        held = []
-        for i, tensor in enumerate(tensors):
-            first = i * TENSOR_FRAMES
-            n = min(TENSOR_FRAMES, frames - first)
-            held.append({"start_ms": _milliseconds(first), "end_ms": _milliseconds(first + n), "n_frames": n, "values": tensor.ravel()})
-        return stored, frames, [{"start_ms": _milliseconds(a), "end_ms": _milliseconds(b)} for a, b in found], held
+def media_digest(media: DataFrame) -> DataFrame:
+    """Of the rows of `media_columns`: sizes and checksums of the payload read back and of the stored form, and the features in a line."""
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 16):  # tensors are larger than texts
-                part = batch.slice(i, 16)
-                columns = list(zip(*(one(t.as_py()) for t in part.column(1))))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "media", "n_frames", "segments", "tensors"])
+            rows = []
+            for i in range(len(batch)):
+                stored = batch.column("media")[i].as_py()
+                back = from_wav(stored)
+                spans = [(s["start_ms"], s["end_ms"]) for s in batch.column("segments")[i].as_py()]
+                feature = _described(batch.column("n_frames")[i].as_py(), spans, batch.column("tensors")[i].values)
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+            columns = list(zip(*rows)) if rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds.values()))], names=["doc_id", "n_bytes", *kinds])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {_MEDIA}")
+    types = ", ".join(f"{k} {'long' if v == pa.int64() else 'string'}" for k, v in kinds.items())
+    return media.select("doc_id", *_KINDS).mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, {types}")
 
 
 def as_tensors(values: pa.Array) -> pa.FixedShapeTensorArray:

@@ -42,7 +42,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digest(read_table(spark, sf_dir, "documents"))
+    return media.media_digest(media.media_columns(read_table(spark, sf_dir, "documents")))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
