@@ -6,6 +6,7 @@ here. Counting and fetching use the same plan, so what is tested is what is run.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -85,6 +86,16 @@ def _changes(data: DataFrame, replacements: list[Replacement]) -> tuple[DataFram
     return data.select("*", *columns), names
 
 
+def replaced_cells(replacements: Sequence[Replacement]) -> list[Column]:
+    """For each replacement (before, after) of the cell, or null where it stays."""
+    cells = []
+    for r in replacements:
+        after = F.expr(f"CASE WHEN ({r.condition}) THEN ({r.expression}) ELSE {quote(r.column)} END")
+        hit = F.coalesce(F.expr(f"({r.condition})").cast("boolean"), F.lit(False))
+        cells.append(F.when(hit & ~F.col(quote(r.column)).eqNullSafe(after), F.struct(F.col(quote(r.column)).alias("before"), after.alias("after"))))
+    return cells
+
+
 def correct(data: DataFrame, replacements: list[Replacement]) -> DataFrame:
     """All replacements at once, each on the state before any of them."""
     return data.withColumns({r.column: F.expr(f"CASE WHEN ({r.condition}) THEN ({r.expression}) ELSE {quote(r.column)} END") for r in replacements})

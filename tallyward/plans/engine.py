@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from tallyward.functions.sandbox import CHUNK_MS, CHUNK_ROWS, MISSING, RULE_MS, Sandbox
 from tallyward.functions.sqltext import put_value, quote, to_spark, tokenize
 from tallyward.operators.assertions import parse_assertion, violation
+from tallyward.operators.changelog import ChangeLog, step_rows
 from tallyward.operators.checks import ROW, Replacement, assertion_rows, cell_changes, change_counts, change_log, correct, distinct_count, matching
 from tallyward.plans.findings import Check, capped, extents
 from tallyward.plans.flags import Flag, plain, value_text
 from tallyward.plans.guard import check_query
 from tallyward.plans.lint import error_line
 from tallyward.plans.rules import Rule, RuleFile
+from tallyward.plans.watch import Watch
 
 _LOG = logging.getLogger(__name__)
 ROW_CAP, DATASET_CAP, FLAG_CAP = 10_000, 200, 200_000
@@ -51,6 +53,11 @@ class Options:
     between: Callable[[DataFrame], None] | None = None
     #: lineage is cut to reliable storage after so many corrections, if spark.checkpoint.dir is set
     checkpoint_every: int = 8
+    #: folder of the log of changes of this table: each correction is written there as a step, and a run that is begun
+    #: again goes on behind the last step (row functions are applied again)
+    change_log: str | None = None
+    #: called from another thread with (tasks done, tasks in all) of the stages that run
+    on_tasks: Callable[[int, int], None] | None = None
 
     @property
     def cancelled(self) -> bool:
@@ -68,6 +75,8 @@ class RuleStat:
     changed_cells: int | None = None
     duration_ms: float = 0.0
     error: str | None = None
+    #: targets whose type a correction changed, as "column: before to after"
+    retyped: tuple[str, ...] = ()
 
 
 @dataclass
@@ -177,11 +186,17 @@ class _Run:
         self.sink = _Sink(options.flag_cap, options.on_flags)
         self.stats: list[RuleStat] = []
         self.corrected = 0
+        self.log = ChangeLog(data, options.change_log) if options.change_log else None
+
+    def _retyped(self, before: DataFrame, rule: Rule) -> tuple[str, ...]:
+        kinds = [(t, before.schema[t].dataType.simpleString(), self.data.schema[t].dataType.simpleString()) for t in rule.distinct_targets]
+        return tuple(f"{t}: {old} to {new}" for t, old, new in kinds if old != new)
 
     def _guarded(self, rule: Rule, work: Callable[[Rule], tuple[int, bool]], correcting: bool) -> bool:
         """Run one rule; False if the run was cancelled meanwhile."""
         began = time.monotonic()
         before = self.data
+        logged = len(self.log.steps) if self.log else 0
         try:
             count, truncated = work(rule)
             if self.options.cancelled:
@@ -190,10 +205,12 @@ class _Run:
                 truncated = True
                 self.sink.summary(Flag("rules", rule.rule_id, "dataset", rule.severity, f"…and {self.sink.suppressed:,} more flags from this rule suppressed (global flag cap reached)"))
             emitted = self.sink.flush()
-            self.stats.append(RuleStat(rule.rule_id, "ok", count, emitted, truncated, count if correcting else None, 1000 * (time.monotonic() - began)))
+            self.stats.append(RuleStat(rule.rule_id, "ok", count, emitted, truncated, count if correcting else None, 1000 * (time.monotonic() - began), retyped=self._retyped(before, rule) if correcting else ()))
             self.corrected += count if correcting else 0
         except Exception as e:
             self.data = before
+            if self.log:
+                del self.log.steps[logged:]
             self.sink.discard()
             if self.options.cancelled:
                 return False
@@ -233,7 +250,7 @@ class _Run:
             if not self._guarded(rule, work, correcting):
                 return
             done += correcting
-            if correcting and done % self.options.checkpoint_every == 0 and self.data.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            if correcting and self.log is None and done % self.options.checkpoint_every == 0 and self.data.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
                 self.data = self.data.checkpoint()
 
     # Validations
@@ -329,6 +346,15 @@ class _Run:
         for r in own:
             check_query(self.data.sparkSession, f"SELECT ({r.condition}), ({r.expression}) FROM data")
         self.data.createOrReplaceTempView("data")
+        if self.log is not None:
+            step = self.log.record(repr(own), [r.column for r in own], lambda: step_rows(self.data, own))
+            counts = step.counts()
+            truncated = self._changes(rule, [(t, n, step.cells(i)) for i, (t, n) in enumerate(zip(step.targets, counts))])
+            if sum(counts):
+                self.data = self.log.merged()
+            else:
+                self.log.steps.pop()
+            return sum(counts), truncated
         got = change_counts(self.data, own).first()
         counts = [got[f"n_{i}"] for i in range(len(own))]
         truncated = self._changes(rule, [(r.column, n, cell_changes(self.data, r)) for r, n in zip(own, counts)])
@@ -366,7 +392,7 @@ class _Run:
             work = joined.withColumn(t, F.when(F.col("__set"), F.col("__val")).otherwise(F.col(quote(t)))).select(*[quote(n) for n in names])
         truncated = self._changes(rule, logs)
         if sum(counts):
-            self.data = work
+            self.data = work if self.log is None else self._log_rows(rule, logs)
         for t, r in errors[:ERROR_FLAGS]:
             self.sink.emit(Flag("rules", rule.rule_id, "cell", "warning", f"JS error on row {r['row']}: {r['error']}", r["row"], t))
         failed = sum(n for _, _, n in updates)
@@ -375,6 +401,14 @@ class _Run:
         return sum(counts), truncated
 
 
+    def _log_rows(self, rule: Rule, logs: Sequence[tuple[str, int, DataFrame]]) -> DataFrame:
+        """The changes of a row function as steps, one for each target."""
+        for t, _, changes in logs:
+            rows = changes.select(F.col("row").alias(ROW), F.struct("before", "after").alias("c_0"))
+            self.log.record(repr((t, rule.condition, rule.update_expression)), [t], lambda rows=rows: rows)
+        return self.log.merged()
+
+
 def dataset_query(data: DataFrame, rule: Rule) -> DataFrame:
     """The plan of a rule over the whole dataset; its SELECT may have a LIMIT of its own."""
     sql = to_spark(rule.condition)
@@ -409,16 +443,24 @@ def _staged(hits: DataFrame, names: Sequence[str], target: str, source: str, san
 
 
 def run_rules(data: DataFrame, files: Sequence[RuleFile], options: Options | None = None) -> RunResult:
-    """Corrections, then the hook between, then validations of the corrected data."""
+    """Corrections, then the hook between, then validations of the corrected data.
+
+    Once `cancel` is set, the Spark job that runs is cancelled and its rule leaves nothing.
+    """
     options = options or Options()
     run = _Run(data, options)
     rules = [r for f in files for r in f.rules]
-    if options.apply_corrections and not options.cancelled:
-        run.phase(rules, "correct")
-    if options.between and not options.cancelled:
-        options.between(run.data)
-    if not options.cancelled:
-        run.phase(rules, "validate")
+    with Watch(data.sparkSession, options.cancel, options.on_tasks):
+        try:
+            if options.apply_corrections and not options.cancelled:
+                run.phase(rules, "correct")
+            if options.between and not options.cancelled:
+                options.between(run.data)
+            if not options.cancelled:
+                run.phase(rules, "validate")
+        except Exception:
+            if not options.cancelled:  # else it is a job that was cancelled between two rules
+                raise
     return RunResult(run.data, run.sink.flags, run.stats, run.corrected, options.cancelled)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.sqltext import to_spark
 from tallyward.operators import checks
+from tallyward.operators.changelog import ChangeLog, step_rows
 from tallyward.operators.checks import Replacement
 from tallyward.plans import findings
 from tallyward.plans.engine import Options, dataset_query, replacements, run_rules
@@ -19,6 +21,7 @@ from tallyward.report.model import review_cells
 from tallyward.schema.digest import digest
 from tallyward.schema.loader import build_schema_set
 from tallyward.schema.run import cast_failures, cast_plan, row_findings, typed
+from tallyward.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -408,6 +411,36 @@ def run_rules_corrections(spark, d):
     return run.data.select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
 
 
+_LOGGED = (
+    Replacement("o_totalprice", "o_orderstatus = 'F'", "round(o_totalprice * 2, 2)"),
+    Replacement("o_orderpriority", "o_totalprice > 400000", "'dear'"),
+    Replacement("o_totalprice", "o_orderpriority = 'dear'", "400000D"),
+)
+_LOGGED_SQL = """(SELECT *, CASE WHEN p2 = 'dear' THEN 400000 ELSE t1 END AS t3 FROM (SELECT *, CASE WHEN t1 > 400000 THEN 'dear' ELSE p0 END AS p2 FROM (
+SELECT o_orderkey AS row, o_totalprice AS t0, o_orderpriority AS p0, CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS t1 FROM orders)))"""
+
+
+def _change_log(spark, d):
+    data = numbered(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), "o_orderkey")
+    log = ChangeLog(data, f"{shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}")
+    for r in _LOGGED:
+        log.record(repr(r), [r.column], lambda r=r: step_rows(log.merged(), [r]))
+    return log
+
+
+@query(f"SELECT row AS o_orderkey, t3 AS o_totalprice, p2 AS o_orderpriority FROM {_LOGGED_SQL}")
+def change_log_replay(spark, d):
+    """Three corrections, each on what those before left, as steps of a log; the table is one merge of all."""
+    return _change_log(spark, d).merged().select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@query(f"""SELECT step, "column", count(*) AS n, min(row) AS first FROM (SELECT 0 AS step, 'o_totalprice' AS "column", row FROM {_LOGGED_SQL} WHERE t0 <> t1
+UNION ALL SELECT 1, 'o_orderpriority', row FROM {_LOGGED_SQL} WHERE p0 <> p2 UNION ALL SELECT 2, 'o_totalprice', row FROM {_LOGGED_SQL} WHERE t1 <> t3) GROUP BY ALL""")
+def change_log_history(spark, d):
+    """What each step changed."""
+    return _change_log(spark, d).history().groupBy("step", "column").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+
+
 @query(f"SELECT count(DISTINCT row) AS n FROM {_FINDINGS_SQL}")
 def rows_affected(spark, d):
     return _findings(spark, d).agg(F.count_distinct("row").alias("n"))
